@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, url_filter
+from . import bpe, exact_dedup, url_filter
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op7_bpe_codec": bpe.op7_bpe_codec,
     "op9_url_filter": url_filter.op9_url_filter,
 }
 
