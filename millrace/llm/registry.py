@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, url_filter
+from . import bpe, exact_dedup, url_filter, warc
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op7_bpe_codec": bpe.op7_bpe_codec,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op10_warc": warc.op10_warc,
 }
 
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.SQL,
     "op9_url_filter": url_filter.SQL,
+    "op10_warc": warc.SQL,
 }
