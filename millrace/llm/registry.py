@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, url_filter, warc
+from . import bpe, chat, exact_dedup, url_filter, warc
 
 QUERIES = {
+    "op3_chat_format": chat.op3_chat_format,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op7_bpe_codec": bpe.op7_bpe_codec,
     "op9_url_filter": url_filter.op9_url_filter,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_chat_format": chat.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
     "op9_url_filter": url_filter.SQL,
     "op10_warc": warc.SQL,
