@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, url_filter, warc
+from . import bpe, chat, exact_dedup, packing, url_filter, warc
 
 QUERIES = {
+    "op2_pattern_packing": packing.op2_pattern_packing,
     "op3_chat_format": chat.op3_chat_format,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op7_bpe_codec": bpe.op7_bpe_codec,
