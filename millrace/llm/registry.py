@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, packing, url_filter, warc
+from . import bpe, chat, exact_dedup, gif, packing, ppm, url_filter, warc
 
 QUERIES = {
     "op2_pattern_packing": packing.op2_pattern_packing,
     "op3_chat_format": chat.op3_chat_format,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op6_gif_media": gif.op6_gif_media,
     "op7_bpe_codec": bpe.op7_bpe_codec,
+    "op8_ppm_score": ppm.op8_ppm_score,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_warc": warc.op10_warc,
 }
