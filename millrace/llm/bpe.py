@@ -278,17 +278,23 @@ class Decoder:
 
 
 class Table(dict):
-    """word -> value, made on demand; emptied at ``kept`` entries, so its memory is bounded."""
+    """word -> value, made on demand. Holds ``kept`` entries and, until as many new ones have come, the ``kept`` before,
+    so its memory is bounded and what is used often stays."""
 
     def __init__(self, make, kept: int):
-        self.make, self.kept = make, kept
+        self.make, self.kept, self.old = make, kept, {}
 
-    def __missing__(self, word):
+    def put(self, word, value):
         if len(self) >= self.kept:
+            self.old = dict(self)
             self.clear()
-        self[word] = value = self.make(word)
+        self[word] = value
         return value
 
+    def __missing__(self, word):
+        value = self.old.get(word)
+        return self.put(word, self.make(word) if value is None else value)
+
 
 _loaded: dict[tuple, tuple] = {}
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import io
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,10 +70,13 @@ def crc_mod(col: str, modulus: int):
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-def pickled_bytes(obj) -> bytes:
-    """numpy arrays packed as one .npz."""
-    import numpy as np
-
-    out = io.BytesIO()
-    np.savez(out, **obj)
-    return out.getvalue()
+def slices(raws: list, size: int = 2 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of documents of about ``size`` bytes or characters together."""
+    start = held = 0
+    for k, raw in enumerate(raws):
+        held += len(raw)
+        if held >= size:
+            yield start, k + 1
+            start, held = k + 1, 0
+    if start < len(raws):
+        yield start, len(raws)

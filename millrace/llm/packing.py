@@ -10,6 +10,7 @@ tasks have of it, so no length is gathered anywhere, and each finds its place by
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -19,35 +20,63 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import encoder, vocabulary
-from .common import cut, ship, table, texts
+from .bpe import Bpe, Table, vocabulary
+from .common import cut, ship, slices, table, texts
 
 CAPACITY = 4096
 END_ID = (1).to_bytes(4, "little")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
-def raw_form(bpe, ids: list[int]) -> bytes:
-    return np.asarray(ids, "<u4").tobytes()
+class Tokens:
+    """Token ids of words, as little-endian bytes, by the tokenizers library. White space separates pre-tokens, so a
+    text's ids are those of its words one after another; words seen lately aren't encoded again."""
+
+    def __init__(self, path: str, kept: int = 300_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.split = Bpe.from_file(path).words
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.known = Table(lambda word: self.encode([word])[0], kept)
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def __call__(self, batch: list[str]) -> Iterator[bytes]:
+        split = [self.split(t) for t in batch]
+        new = [w for w in set().union(*split) if w not in self.known and w not in self.known.old]
+        for at in range(0, len(new), 10_000):
+            part = new[at : at + 10_000]
+            for word, raw in zip(part, self.encode(part), strict=True):
+                self.known.put(word, raw)
+        for words in split:
+            yield b"".join(map(self.known.__getitem__, words))
+
+
+_tokens: dict[str, Tokens] = {}
 
 
 def piece_rows(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
     """Documents to pieces of at most ``capacity`` ids; ``nth`` counts this task's pieces of the same length."""
-    bpe, known = encoder(path, raw_form)
-    of, part = known.__getitem__, TaskContext.get().partitionId()
+    tokens = _tokens.get(path) or _tokens.setdefault(path, Tokens(path))
+    part = TaskContext.get().partitionId()
     counts = np.zeros(capacity + 1, np.int64)
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
     for batch in batches:
-        rows = []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            raw = b"".join([*map(of, bpe.words(text)), END_ID])
-            for k, at in enumerate(range(0, len(raw), 4 * capacity)):
-                cut_off = raw[at : at + 4 * capacity]
-                n = len(cut_off) // 4
-                rows.append((doc, k, at // 4, n, zlib.crc32(cut_off), part, int(counts[n])))
-                counts[n] += 1
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-        columns = zip(*rows, strict=True) if rows else [[]] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
+        docs, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for a, b in slices(bodies):
+            rows = []
+            for doc, raw in zip(docs[a:b], tokens(bodies[a:b]), strict=True):
+                raw += END_ID
+                for k, at in enumerate(range(0, len(raw), 4 * capacity)):
+                    cut_off = raw[at : at + 4 * capacity]
+                    n = len(cut_off) // 4
+                    rows.append((doc, k, at // 4, n, zlib.crc32(cut_off), part, int(counts[n])))
+                    counts[n] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
 
 def patterns_for(counts: np.ndarray, capacity: int, most_docs: int = 5, tries: int = 6) -> np.ndarray:

@@ -22,29 +22,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, ship, table, texts
+from .common import crc_mod, cut, ship, slices, table
 
 END = b" "  # the end of a text as a token; no word has a space
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-SLICE = 2 << 20
 
 
 def _lowered(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").translate(LOWER)
 
 
-def slices(raws: list[bytes], size: int = SLICE) -> Iterator[tuple[int, int]]:
-    """Ranges of documents of about ``size`` bytes together."""
-    start = held = 0
-    for k, raw in enumerate(raws):
-        held += len(raw)
-        if held >= size:
-            yield start, k + 1
-            start, held = k + 1, 0
-    if start < len(raws):
-        yield start, len(raws)
-
-
 def grams(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All (context, byte) triples of the documents as 24-bit numbers, and where each document's begin."""
     joined = np.frombuffer(b"\xff\xff" + b"\xff\xff".join(raws) + b"\xff\xff", np.uint8).astype(np.uint32)
