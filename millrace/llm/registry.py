@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, gif, packing, ppm, url_filter, warc
+from . import bpe, chat, exact_dedup, gif, packing, ppm, toxicity, url_filter, warc
 
 QUERIES = {
     "op2_pattern_packing": packing.op2_pattern_packing,
     "op3_chat_format": chat.op3_chat_format,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_gif_media": gif.op6_gif_media,
     "op7_bpe_codec": bpe.op7_bpe_codec,
     "op8_ppm_score": ppm.op8_ppm_score,

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import struct
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -47,13 +48,29 @@ def window_starts(n: int) -> list[int]:
     return list(range(0, n - WINDOW + STRIDE, STRIDE)) if n > WINDOW else [0]
 
 
+def smallest(tokens: list[str], slots: int = 4) -> list[int]:
+    """The least hash of the runs of three words in each of some slots; near copies share most of them."""
+    least: dict[int, int] = {}
+    for run in zip(tokens, tokens[1:], tokens[2:], strict=False):
+        h = zlib.crc32(" ".join(run).encode("utf-8", "surrogatepass"))
+        if h < least.get(h % slots, 1 << 32):
+            least[h % slots] = h
+    return [least[k] for k in sorted(least)]
+
+
 class Lexicon:
     """Words and beginnings that at least ``least`` training documents have, with their evidence."""
 
     def __init__(self, texts: list[str], labels: np.ndarray, least: int = 3):
         words = [Counter(), Counter()]
         chars = [Counter(), Counter()]
+        seen: set = set()
         for text, label in zip(texts, labels, strict=True):
+            marks = {(k, label, m) for k, m in enumerate(smallest(text.split()))}
+            copy = not seen.isdisjoint(marks)
+            seen |= marks
+            if copy:  # copies and near copies of a document are no further evidence
+                continue
             own = {word_of(t) for t in text.split()}
             words[label].update(own)
             chars[label].update({b for w in own for b in beginnings(w)})
@@ -64,15 +81,15 @@ class Lexicon:
     @staticmethod
     def _known(counts, n, least) -> tuple[dict[str, int], np.ndarray]:
         names = [k for k in sorted(counts[0].keys() | counts[1].keys()) if counts[0][k] + counts[1][k] >= least]
-        # a prior of four documents, dealt as the labels are; and as much evidence as so many names give by chance is
-        # taken off (the log-likelihood ratio against the log of their number)
+        # a prior of four documents, dealt as the labels are; and what so many names give by chance counts for nothing
+        # (the log-likelihood ratio against the log of their number)
         prior, share = [4 * n[k] / sum(n) for k in (0, 1)], n[1] / sum(n)
         odds = []
         for k in names:
             b, a = counts[0][k], counts[1][k]
             ratio = sum(x * math.log(x / (a + b) / q) for x, q in ((a, share), (b, 1 - share)) if x)
             plain = math.log((a + prior[1]) / (n[1] + prior[1])) - math.log((b + prior[0]) / (n[0] + prior[0]))
-            odds.append(plain * max(0.0, 1 - math.log(len(names)) / ratio) if ratio > 0 else 0.0)
+            odds.append(plain * min(1.0, max(0.0, ratio / math.log(len(names)) - 0.6) / 0.6))
         return {k: i + 1 for i, k in enumerate(names)}, np.asarray([0.0, *odds])
 
 
