@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, gif, packing, ppm, toxicity, url_filter, warc
+from . import bpe, chat, exact_dedup, gif, jaccard_join, packing, ppm, toxicity, url_filter, warc
 
 QUERIES = {
+    "op1_jaccard_join": jaccard_join.op1_jaccard_join,
     "op2_pattern_packing": packing.op2_pattern_packing,
     "op3_chat_format": chat.op3_chat_format,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
