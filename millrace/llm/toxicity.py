@@ -359,6 +359,24 @@ def score_toxicity(docs: DataFrame, net: Network, *more: str) -> DataFrame:
     return rows.mapInArrow(lambda b: score_rows(b, model), schema)
 
 
+def _clean(batches: Iterator[pa.RecordBatch], model, at: int, cut: float) -> Iterator[pa.RecordBatch]:
+    net = model.value
+    known = Table(net.packed, 300_000)
+    for batch in batches:
+        bodies = [t or "" for t in batch.column(at).to_pylist()]
+        for a, b in slices(bodies):
+            scores = text_scores(net, known, bodies[a:b])
+            yield pa.RecordBatch.from_arrays([c[a:b] for c in batch.columns], schema=batch.schema).filter(pa.array([s < cut for s in scores]))
+
+
+def without_toxic(docs: DataFrame, net: Network, cut: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose whole text scores under ``cut``."""
+    spark = docs.sparkSession
+    ship(spark)
+    model, at = spark.sparkContext.broadcast(net), docs.columns.index("text")
+    return docs.mapInArrow(lambda b: _clean(b, model, at, cut), docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.3, modulus: int = 4, held: int = 2) -> DataFrame:
     """doc_id, held_out, score, predicted of every document, from a network trained on the labels not held out."""
     rows = docs.select("doc_id", (crc_mod("doc_id", modulus) == held).alias("held_out"), "text")
