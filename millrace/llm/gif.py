@@ -229,7 +229,7 @@ def histogram(rgba: np.ndarray) -> np.ndarray:
     """Counts of the visible points' red, green and blue in BINS steps each."""
     seen = rgba.reshape(-1, 4)
     seen = seen[seen[:, 3] > 0]
-    return np.concatenate([np.bincount(seen[:, c] * BINS // 256, minlength=BINS) for c in range(3)]) if len(seen) else np.zeros(3 * BINS, np.int64)
+    return np.concatenate([np.bincount(seen[:, c].astype(int) * BINS // 256, minlength=BINS) for c in range(3)]) if len(seen) else np.zeros(3 * BINS, np.int64)
 
 
 def frame_histogram(f: Frame) -> np.ndarray:
