@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import io
 import tempfile
 import uuid
 import zipfile
@@ -47,15 +47,20 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that don't share the driver's module path."""
+    """Make this package importable in Python workers that don't share the driver's module path: once for each session,
+    a zip of it in the shared folder."""
     sc = spark.sparkContext
     if getattr(sc, "_millrace_shipped", False):
         return
-    path = os.path.join(tempfile.mkdtemp(prefix="millrace-zip-"), "millrace_llm.zip")
-    with zipfile.ZipFile(path, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for p in sorted([_PACKAGE / "__init__.py", *(_PACKAGE / "llm").glob("*.py")]):
-            if p.exists():
-                z.write(p, str(p.relative_to(_PACKAGE.parent)))
+            z.write(p, str(p.relative_to(_PACKAGE.parent)))
+    path = scratch_path(spark, "millrace") + ".zip"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
     sc.addPyFile(path)
     sc._millrace_shipped = True
 

@@ -191,7 +191,8 @@ def salvage(read, most: int = 1 << 30) -> Iterator[Record | Gap]:
 
 
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path)
+    """The file system of a path and the path there."""
+    return pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1) if path.startswith("s3a://") else path)
 
 
 WRITTEN = "path string, records long, bytes long"
