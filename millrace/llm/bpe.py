@@ -38,6 +38,11 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in set(plain) else chr(next(rest)) for b in range(256)]
 
 
+def split_words(text: str) -> list[str]:
+    """Text between white space."""
+    return text.split() if _SEPARATORS.search(text) is None else _WORDS.findall(text)
+
+
 class Bpe:
     """Vocabulary and merges of a tokenizers file with byte-level BPE (optionally with word ends and lower case)."""
 
@@ -179,7 +184,7 @@ class Bpe:
 
     def words(self, text: str) -> list[str]:
         """Text between white space."""
-        return text.split() if _SEPARATORS.search(text) is None else _WORDS.findall(text)
+        return split_words(text)
 
     def encode_word(self, word: str, ids_of) -> list[int]:
         """Ids of text without white space; ``ids_of`` gives those of a piece."""

@@ -11,6 +11,7 @@ tasks have of it, so no length is gathered anywhere, and each finds its place by
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Bpe, Table, vocabulary
+from .bpe import Table, split_words, vocabulary
 from .common import cut, ship, slices, table, texts
 
 CAPACITY = 4096
@@ -36,22 +37,45 @@ class Tokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.split = Bpe.from_file(path).words
+        self.split = split_words
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known = Table(lambda word: self.encode([word])[0], kept)
-
-    def encode(self, words: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        self.parts = Table(lambda part: self._packed(self.library.encode(part, add_special_tokens=False).ids), kept)
+        self.known = Table(lambda word: b"".join([self.parts[p] for p in self._cut(word)]), kept)
+
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _cut(self, word: str) -> tuple[str, ...]:
+        """Lower-case letters and a stop or comma are pre-tokens of their own; other words go to the library whole."""
+        if "Σ" not in word:  # whose lower case depends on its place
+            low = word.lower()
+            if low.isalpha():
+                return (low,)
+            if word[-1] in ".," and low[:-1].isalpha():
+                return low[:-1], word[-1]
+        return (word,)
+
+    def _encode(self, parts: list[str]) -> None:
+        for at in range(0, len(parts), 10_000):
+            some = parts[at : at + 10_000]
+            for part, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.parts.put(part, self._packed(e.ids))
+
+    def _learn(self, new: list[str]) -> None:
+        known, old = self.parts, self.parts.old
+        cuts = [self._cut(w) for w in new]
+        self._encode([p for p in {p for c in cuts for p in c} if p not in known and p not in old])
+        for word, cut_ in zip(new, cuts, strict=True):
+            self.known.put(word, b"".join([self.parts[p] for p in cut_]))
 
     def __call__(self, batch: list[str]) -> Iterator[bytes]:
         split = [self.split(t) for t in batch]
         new = [w for w in set().union(*split) if w not in self.known and w not in self.known.old]
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for word, raw in zip(part, self.encode(part), strict=True):
-                self.known.put(word, raw)
+        for at in range(0, len(new), 50_000):
+            self._learn(new[at : at + 50_000])
         for words in split:
             yield b"".join(map(self.known.__getitem__, words))
 
