@@ -28,7 +28,6 @@ from .common import ship, table, texts
 SPACE = "\t-\r \x85\xa0  -     　"
 _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 _WORDS = regex.compile(rf"[^{SPACE}]+")
-_SEPARATORS = regex.compile("[\x1c-\x1f]")
 
 
 def byte_symbols() -> list[str]:
@@ -40,7 +39,8 @@ def byte_symbols() -> list[str]:
 
 def split_words(text: str) -> list[str]:
     """Text between white space."""
-    return text.split() if _SEPARATORS.search(text) is None else _WORDS.findall(text)
+    odd = "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+    return _WORDS.findall(text) if odd else text.split()
 
 
 class Bpe:
@@ -296,6 +296,12 @@ class Table(dict):
         self[word] = value
         return value
 
+    def put_all(self, words: list, values: list) -> None:
+        if len(self) + len(words) > self.kept:
+            self.old = dict(self)
+            self.clear()
+        self.update(zip(words, values, strict=True))
+
     def __missing__(self, word):
         value = self.old.get(word)
         return self.put(word, self.make(word) if value is None else value)

@@ -14,6 +14,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -61,23 +62,21 @@ class Tokens:
     def _encode(self, parts: list[str]) -> None:
         for at in range(0, len(parts), 10_000):
             some = parts[at : at + 10_000]
-            for part, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.parts.put(part, self._packed(e.ids))
+            self.parts.put_all(some, [self._packed(e.ids) for e in self.library.encode_batch_fast(some, add_special_tokens=False)])
 
     def _learn(self, new: list[str]) -> None:
-        known, old = self.parts, self.parts.old
-        cuts = [self._cut(w) for w in new]
-        self._encode([p for p in {p for c in cuts for p in c} if p not in known and p not in old])
-        for word, cut_ in zip(new, cuts, strict=True):
-            self.known.put(word, b"".join([self.parts[p] for p in cut_]))
+        cuts, parts = [*map(self._cut, new)], self.parts
+        self._encode([*filterfalse(parts.old.__contains__, filterfalse(parts.__contains__, set().union(*cuts)))])
+        self.known.put_all(new, [parts[c[0]] if len(c) == 1 else parts[c[0]] + parts[c[1]] for c in cuts])
 
     def __call__(self, batch: list[str]) -> Iterator[bytes]:
-        split = [self.split(t) for t in batch]
-        new = [w for w in set().union(*split) if w not in self.known and w not in self.known.old]
+        split = [*map(self.split, batch)]
+        new = [*filterfalse(self.known.old.__contains__, filterfalse(self.known.__contains__, set().union(*split)))]
         for at in range(0, len(new), 50_000):
             self._learn(new[at : at + 50_000])
+        get = self.known.__getitem__
         for words in split:
-            yield b"".join(map(self.known.__getitem__, words))
+            yield b"".join(map(get, words))
 
 
 _tokens: dict[str, Tokens] = {}
