@@ -376,6 +376,43 @@ def test_ppm_probabilities_sum_to_one():
     assert np.allclose((10**model.table).sum(1), 1)
 
 
+def ppm_deep(data, order):
+    low = lambda t: (t or "").encode().translate(ppm.LOWER)
+    pad, model = b"\xff" * order, {}
+    for d, t in data:
+        if zlib.crc32(("" if d is None else str(d)).encode()) % 7 != 2:
+            b = pad + low(t) + b"\xff"
+            for i in range(order, len(b)):
+                for k in range(order + 1):
+                    model.setdefault(b[i - k : i], Counter())[b[i]] += 1
+
+    def p(b, i):
+        out, gone = 1.0, set()
+        for k in range(order, -1, -1):
+            seen = model.get(b[i - k : i], {})
+            left = {s: n for s, n in seen.items() if s not in gone}
+            if left:
+                n, d = sum(left.values()), len(left)
+                if b[i] in left:
+                    return out * left[b[i]] / (n + d)
+                out *= d / (n + d)
+            gone |= set(seen)
+        return out / (256 - len(model.get(b"", {})))
+
+    for d, t in data:
+        b = pad + low(t) + b"\xff"
+        yield d, sum(math.log10(p(b, i)) for i in range(order, len(b)))
+
+
+@pytest.mark.parametrize("order, chunk", [(3, 1 << 20), (5, 3000), (6, 1 << 20)])
+def test_ppm_of_longer_contexts(docs, monkeypatch, order, chunk):
+    monkeypatch.setattr(ppm, "CHUNK", chunk)
+    want = sorted(ppm_deep([(d, t) for d, t, *_ in corpus()], order), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    got = sorted(((r.doc_id, r.score) for r in ppm.score_corpus(docs, order=order).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    assert [d for d, _ in got] == [d for d, _ in want]
+    assert [s for _, s in got] == pytest.approx([s for _, s in want], rel=1e-9)
+
+
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/es/ok", "allow"), ("com", "", "block"), ("a.b.com", "/x", "allow"), ("x.org", "/", "block"), ("x.org", "/", "allow"), ("", "/root", "block")]
 
 
