@@ -30,9 +30,12 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least doc_id; documents without an id stay."""
-    gone = jaccard_join(docs).filter("doc_id <> class_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    """Of each group of near duplicates the row with the least doc_id (null last), of equal ids the one whose text has the
+    least SHA-256. Each row is judged by its own text; rows that repeat id and text, which exact dedup has removed, alike."""
+    gone = jaccard_join(docs, judged=True).filter("not kept").select(F.col("doc_id").alias("gone_id"), "text_sha256")
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+    rows = docs.withColumn("near_sha256", sha)
+    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("near_sha256") == F.col("text_sha256")), "left_anti").drop("near_sha256")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

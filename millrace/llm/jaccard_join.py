@@ -261,7 +261,7 @@ def verified_rows(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterat
         yield _verified(rows, copies, side, sets, threshold)
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999999) -> DataFrame:
+def jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999999, judged: bool = False) -> DataFrame:
     """doc_id, class_id, n_links and copies of every document.
 
     ``n_links``: how many other documents have a Jaccard similarity of word 5-grams of ``threshold`` or more with it.
@@ -269,14 +269,20 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999
     Null texts count as empty, and documents without words as copies of one another; with one to four words all of them
     are one n-gram. Repeated rows are copies like others; null ids are never a class_id while another id is there. An
     empty table gives no rows; other columns are ignored.
+
+    ``judged`` adds text_sha256 and kept: of a group's rows the one with the least doc_id (null last), of equal ids the one
+    with the least text_sha256, is kept. Rows that repeat both are judged alike.
     """
     spark = docs.sparkSession
     ship(spark)
+    sha = F.sha2("text", 256)
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", sha.alias("sha"))
+    best = [F.min(rank).alias("best")] if judged else []
     length = prefix_length(threshold, recall)
     values = TREES * DEPTH
     least = int(values * threshold - 5.5 * (values * threshold * (1 - threshold)) ** 0.5)
     sets = cut(texts(docs).mapInArrow(lambda b: set_rows(b, length), SETS), "shingle-sets")
-    classes = cut(sets.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("row"), F.min("doc_id").alias("first"), F.first("size").alias("size")), "classes")
+    classes = cut(sets.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("row"), F.min("doc_id").alias("first"), F.first("size").alias("size"), *best), "classes")
     one = sets.select("row", "labels", "signature").join(classes.filter("size > 0").select("row"), "row")
     keys = one.select("row", F.explode("labels").alias("label"))
     sizes = keys.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -292,8 +298,11 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999
     links = verified.groupBy("row").agg(F.sum("links").alias("links"))
     groups = components(verified.select(F.col("row").alias("a"), F.col("root").alias("b")))
     named = classes.join(groups.select(F.col("node").alias("row"), "root"), "row", "left").join(links, "row", "left").withColumn("root", F.coalesce("root", "row"))
-    lowest = named.groupBy("root").agg(F.min("first").alias("class_id"))
-    named = named.join(lowest, "root").select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
+    lowest = named.groupBy("root").agg(F.min("first").alias("class_id"), *([F.min("best").alias("keep")] if judged else []))
+    named = named.join(lowest, "root").select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies", *(["keep"] if judged else []))
+    if judged:
+        rows = sets.select("doc_id", "digest", sha.alias("text_sha256")).join(named, "digest")
+        return rows.select("doc_id", "class_id", "n_links", "copies", "text_sha256", (F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("text_sha256") == F.col("keep.sha"))).alias("kept"))
     return sets.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", "n_links", "copies")
 
 

@@ -50,3 +50,13 @@ def test_stages_keep_the_columns(spark):
         out = stage(spark, out, D)
         assert out.columns == docs.columns and stage(spark, docs.limit(0), D).count() == 0
     assert sorted(r.doc_id for r in out.collect()) == [1, 7]
+
+
+def test_near_dedup_judges_each_row_by_its_own_text(spark):
+    words = [[f"{c}{k}" for k in range(60)] for c in "abcd"]
+    text = lambda w, *more: " ".join([*words[w], *more])
+    data = [(1, text(0)), (5, text(0, "x")), (5, text(1)), (None, text(2)), (None, text(2, "y")), (7, text(3)), (7, text(3, "z")), (8, text(3, "v")), (None, text(0, "w")), (9, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.near_dedup_stage(spark, docs, D).collect()]
+    assert {(1, text(0)), (5, text(1)), (9, None)} < set(got)
+    assert sorted((d is None, d or 0) for d, _ in got) == [(False, 1), (False, 5), (False, 7), (False, 9), (True, 0)]
