@@ -17,6 +17,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -43,6 +44,16 @@ def split_words(text: str) -> list[str]:
     return _WORDS.findall(text) if odd else text.split()
 
 
+def word_blocks(text: str, size: int = 8192) -> Iterator[list[str]]:
+    """Text between white space, of long texts ``size`` words at a time."""
+    if len(text) <= 8 * size:
+        yield split_words(text)
+        return
+    found = _WORDS.finditer(text)
+    while block := [m[0] for m in islice(found, size)]:
+        yield block
+
+
 class Bpe:
     """Vocabulary and merges of a tokenizers file with byte-level BPE (optionally with word ends and lower case)."""
 
@@ -71,7 +82,6 @@ class Bpe:
             else:
                 inner[token] = i
         self.inner, self.final = inner, final if self.suffix else inner
-        self.trie = {t[:k]: -1 for t in inner for k in range(1, len(t))} | inner
         self.back = {c: b for b, c in self._bytes.items()}
         self.lookahead = max(map(len, [*inner, *final]))
         self._fits: dict[int, bool] = {}
@@ -122,51 +132,9 @@ class Bpe:
             self._fits[key] = got
         return got
 
-    def _starting(self, piece: str, at: int, n: int) -> list[tuple[int, int]]:
-        """(end, token) of the tokens that begin at ``at``, the longest last."""
-        trie, out = self.trie, []
-        for end in range(at + 1, n if self.suffix else n + 1):
-            token = trie.get(piece[at:end])
-            if token is None:
-                break
-            if token >= 0:
-                out.append((end, token))
-        if self.suffix and (token := self.final.get(piece[at:])) is not None:
-            out.append((n, token))
-        return out
-
     def encode_piece(self, piece: str) -> list[int]:
-        """Ids of one pre-token (in byte symbols).
-
-        Up to 64 symbols lie in the window at once: take the longest token that fits the one before, step back where
-        none does. Sequences in which all neighbours fit are unique, so the first to reach the end is BPE's. Longer
-        pieces stream through the Transducer.
-        """
-        n = len(piece)
-        if n > 64:
-            return list(Transducer(self).run(piece))
-        known, fits = self._fits, self.fits
-        path: list[tuple[int, int, list]] = []
-        dead: set[int] = set()
-        at, before, options = 0, -1, self._starting(piece, 0, n)
-        while True:
-            while options:
-                end, token = options.pop()
-                if end in dead:
-                    continue
-                ok = known.get((before << 20) | token if at else ~token)
-                if ok is None:
-                    ok = fits(before, token)
-                if ok:
-                    path.append((token, at, options))
-                    if end == n:
-                        return [t for t, _, _ in path]
-                    at, before, options = end, token, self._starting(piece, end, n)
-                    break
-            else:
-                dead.add(at)
-                _, at, options = path.pop()
-                before = path[-1][0] if path else -1
+        """Ids of one pre-token (in byte symbols), from the Transducer."""
+        return list(Transducer(self).run(piece))
 
     def pieces(self, word: str) -> list[str]:
         """Pre-tokens, as byte symbols, of text without white space or special tokens."""
@@ -206,13 +174,17 @@ class Transducer:
         self.last, self.back = [-1], [0]
 
     def _step(self, end: int, names: dict[str, int]) -> None:
-        bpe = self.bpe
-        token, start = -1, 0
+        bpe, text, last = self.bpe, self.text, self.last
+        known, get, token, start = bpe._fits, names.get, -1, 0
         for j in range(max(0, end - bpe.lookahead), end):
-            t = names.get(self.text[j:end])
-            if t is None or (self.last[j] < 0 and (j or self.at)):
+            before = last[j]
+            if before < 0 and (j or self.at):
                 continue
-            if bpe.fits(self.last[j] if j or self.at else -1, t):
+            t = get(text[j:end])
+            if t is None:
+                continue
+            ok = known.get((before << 20) | t if before >= 0 else ~t)
+            if bpe.fits(before, t) if ok is None else ok:
                 token, start = t, j
                 break
         self.last.append(token)
@@ -220,10 +192,11 @@ class Transducer:
 
     def push(self, symbols: str) -> Iterator[int]:
         """Take symbols of which the piece's last is none."""
+        most, inner = 4 * self.bpe.lookahead, self.bpe.inner
         for s in symbols:
             self.text += s
-            self._step(len(self.text), self.bpe.inner)
-            if len(self.text) >= 4 * self.bpe.lookahead:
+            self._step(len(self.text), inner)
+            if len(self.text) >= most:
                 yield from self._emit()
 
     def _chain(self, end: int) -> list[int]:
@@ -329,10 +302,18 @@ def digest_rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Rec
     for batch in batches:
         counts, ids, decoded = [], [], []
         for text in batch.column(1).to_pylist():
-            parts = [p for p in map(of, bpe.words(text)) if p[0]]
-            counts.append(sum(p[0] for p in parts))
-            ids.append(hashlib.sha256(" ".join([p[1] for p in parts]).encode()).hexdigest())
-            decoded.append(hashlib.sha256(" ".join([p[2] for p in parts]).encode()).hexdigest())
+            n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+            for words in word_blocks(text):
+                parts = [p for p in map(of, words) if p[0]]
+                if not parts:
+                    continue
+                between = " " if n else ""
+                n += sum([p[0] for p in parts])
+                of_ids.update((between + " ".join([p[1] for p in parts])).encode())
+                of_text.update((between + " ".join([p[2] for p in parts])).encode())
+            counts.append(n)
+            ids.append(of_ids.hexdigest())
+            decoded.append(of_text.hexdigest())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 

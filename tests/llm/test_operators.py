@@ -153,6 +153,17 @@ def test_transducer_streams_in_constant_memory():
         assert out == library().encode(piece, add_special_tokens=False).ids and most <= 8 * b.lookahead
 
 
+def test_every_piece_takes_the_transducer(monkeypatch):
+    b, seen = bpe.Bpe.from_file(bpe.vocabulary()), []
+    run = bpe.Transducer.run
+    monkeypatch.setattr(bpe.Transducer, "run", lambda self, piece: seen.append(piece) or run(self, piece))
+    for word in ("streaming", "a", "the" * 40):
+        assert b.encode_piece(word) == library().encode(word, add_special_tokens=False).ids
+    assert seen == ["streaming", "a", "the" * 40]
+    text = "one two\x1cthree \u2003" * 30_000
+    assert [w for block in bpe.word_blocks(text) for w in block] == bpe.split_words(text) and max(map(len, bpe.word_blocks(text))) <= 8192
+
+
 def test_byte_level_decoder_waits_for_whole_characters():
     b = bpe.Bpe.from_file(bpe.vocabulary().replace("word_bpe_49k", "byte_bpe_50k"))
     d, ids = bpe.Decoder(b, byte_level=True), [i for p in ("naïve", "Ġ日本") for i in b.encode_piece("".join(b._bytes[x] for x in p.replace("Ġ", " ").encode()))]
