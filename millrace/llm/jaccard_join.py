@@ -1,11 +1,11 @@
-"""N-gram Jaccard join: a MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: MinHash bands, then exact verification.
 
 A document is the set of its runs of five words. Documents with equal sets form a class, and from there on only one
-representative of each takes part. The forest has ``TREES`` tries; in each a representative's label is ``DEPTH`` of its
-MinHash values. Two representatives are candidates if in some trie their labels share a prefix. The prefix starts at the
-full label and is shortened until a pair at the threshold is found with the target recall:
-1 - (1 - threshold**length) ** TREES. Labels of a trie are sorted, so those with the same prefix stand together; where
-many do, they are dealt into blocks and met block by block.
+representative of each takes part. There are ``TREES`` bands of ``DEPTH`` MinHash values; a label is a hash of a band's
+first values. Two representatives are candidates if some label of theirs is equal. How many values it takes is fixed
+before any data is read: ``DEPTH``, or fewer until a pair at the threshold is found with the target recall:
+1 - (1 - threshold**length) ** TREES. This stands in for an LSH forest: there are no sorted tries, and labels of different
+lengths are never compared. Where many labels are equal, they are dealt into blocks and met block by block.
 
 Candidates whose whole signatures agree too little are let go (five standard deviations under the threshold); the others
 are joined to clusters. Two documents over the threshold are in the same cluster, so each cluster's sets are met in
