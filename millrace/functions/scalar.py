@@ -1,4 +1,4 @@
-"""Scalar expressions. All compile to built-in JVM expressions; standard SQL semantics (three-valued logic, signed MOD)."""
+"""Scalar expressions. All but ``extern`` compile to built-in JVM expressions; standard SQL semantics (three-valued logic, signed MOD)."""
 
 from __future__ import annotations
 
@@ -116,6 +116,11 @@ def extract(unit: str, c: Column) -> Column:
     return _UNITS[unit.lower().replace("_", "")](c).cast("int")
 
 
+def extern(name: str, *args: Value) -> Column:
+    """A call of a function the session knows: a registered UDF or a built-in."""
+    return F.call_function(name, *map(lit, args))
+
+
 def like(c: Column, pattern: str) -> Column:
     return c.like(pattern)
 

@@ -81,6 +81,8 @@ class Interpreter:
             return scalar.extract(e["unitrange"], self.expression(e["e"], df))
         if kind == "cast":
             return self.expression(e["e"], df).cast(TYPES[e["type"]["type"]])
+        if kind == "extern":
+            return scalar.extern(e["name"], *(self.expression(a, df) for a in e["args"]))
         if kind == "placeholder":
             return F.lit(self.params[e["index"]])
         raise PlanError(f"unknown expression {kind!r}")

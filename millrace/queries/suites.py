@@ -69,9 +69,12 @@ SUITES = {
     "ch_q1": f"SELECT l_linenumber, {total('l_quantity', 2)} AS sum_qty, {total('l_extendedprice', 2)} AS sum_amount, count(*) AS n FROM lineitem WHERE l_shipdate > DATE '1997-01-02' GROUP BY l_linenumber ORDER BY l_linenumber",
     "ch_q4": "SELECT CAST(l_linenumber AS INTEGER) AS lines, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderdate >= DATE '1996-01-02' AND o_orderdate < DATE '1999-01-02' AND l_shipdate >= o_orderdate GROUP BY 1 ORDER BY 1",
     "ch_q6": f"SELECT {total('l_extendedprice', 2)} AS revenue FROM lineitem WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '2000-01-01' AND l_quantity BETWEEN 1 AND 40",
+    "ch_q8": f"SELECT {YEAR} AS l_year, {total("CASE WHEN sn.n_name = 'NATION_3' THEN l_extendedprice ELSE 0 END", 2)} / ({total('l_extendedprice', 2)}) AS mkt_share FROM {STAR} {NATIONS} WHERE cr.r_name = 'EUROPE' AND p_brand LIKE '%2' AND o_orderdate BETWEEN DATE '1995-01-02' AND DATE '2000-01-02' GROUP BY 1 ORDER BY l_year",
     "ch_q12": "SELECT l_linenumber, CAST(sum(CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' THEN 1 ELSE 0 END) AS BIGINT) AS high, CAST(sum(CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' THEN 0 ELSE 1 END) AS BIGINT) AS low FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderdate <= l_shipdate AND l_shipdate < DATE '2000-01-01' GROUP BY l_linenumber ORDER BY l_linenumber",
     "ch_q18": f"SELECT c_custkey, o_orderkey, {total('l_extendedprice', 2)} AS amount FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY c_custkey, o_orderkey HAVING sum(l_extendedprice) > 300000 ORDER BY amount DESC, o_orderkey",
     "ch_q19": f"SELECT {total('l_extendedprice', 2)} AS revenue FROM lineitem JOIN part ON l_partkey = p_partkey WHERE (p_brand LIKE 'Brand#1%' AND l_quantity BETWEEN 1 AND 10 AND p_retailprice > 1000) OR (p_brand LIKE 'Brand#2%' AND l_quantity BETWEEN 5 AND 20)",
+    "ch_micro_sum": "SELECT CAST(sum(l_orderkey) AS BIGINT) AS total FROM lineitem",
+    "ch_micro_stock": f"SELECT l_suppkey, l_partkey, {total('l_quantity', 2)} AS quantity FROM lineitem GROUP BY l_suppkey, l_partkey",
     "nested_subselects": "SELECT lhs.o_orderpriority, count(lhs.l_orderkey) AS n FROM (SELECT l_orderkey, o_orderpriority, l_suppkey FROM (SELECT l_orderkey, l_suppkey FROM lineitem WHERE l_quantity < 25) a JOIN (SELECT o_orderkey, o_orderpriority FROM orders) b ON a.l_orderkey = b.o_orderkey) lhs JOIN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) rhs ON lhs.l_suppkey = rhs.s_suppkey GROUP BY lhs.o_orderpriority",
     "from_less_select": "SELECT CAST('plain text' AS VARCHAR(60)) AS t",
 }

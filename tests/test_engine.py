@@ -136,6 +136,14 @@ def test_scalar_traps(spark):
     assert tuple(ts.select(*(X.extract(u, F.col("t")) for u in ("dow", "doy", "century", "millennium", "millisecond", "week", "iso_year"))).first()) == (1, 7, 21, 3, 678, 1, 2001)
 
 
+def test_extern_calls(spark, catalog):
+    spark.udf.register("twice_and", lambda a, b: None if a is None else 2 * a + b, "long")
+    df = spark.sql("SELECT * FROM VALUES (3L), (CAST(NULL AS BIGINT)) AS t(a)")
+    assert df.select(X.extern("twice_and", F.col("a"), 1), X.extern("abs", -2)).collect() == [(7, 2), (None, 2)]
+    call = {"expression": "extern", "name": "twice_and", "args": [{"expression": "int", "v": 3}, {"expression": "int", "v": 4}]}
+    assert df.select(Interpreter(catalog).expression(call, df)).first()[0] == 10
+
+
 def test_sinks(spark, catalog, tmp_path):
     s = rel(catalog, "sailors")
     print_to(s, str(tmp_path / "c"))
