@@ -48,8 +48,11 @@ def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers that don't share the driver's module path: once for each session,
-    a zip of it in the shared folder."""
+    a zip of it in the shared folder. Whole texts are long, so Arrow batches of them are kept to 1000 rows."""
     sc = spark.sparkContext
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(rows)) > 1000:
+        spark.conf.set(rows, "1000")
     if getattr(sc, "_millrace_shipped", False):
         return
     packed = io.BytesIO()

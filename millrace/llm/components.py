@@ -7,6 +7,19 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+HUBS = 1000
+
+
+def spread_join(rows: DataFrame, per_key: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``per_key``, which has a row for each key and in ``n`` how many of the ``total`` rows have it.
+
+    Keys with more than a thousandth of all rows, of which there are fewer than ``HUBS``, are broadcast, so rows of a hot
+    key stay where they are; only those of other keys are shuffled."""
+    hot = total / HUBS
+    hubs = F.broadcast(per_key.filter(F.col("n") > hot))
+    plain = rows.join(F.broadcast(per_key.filter(F.col("n") > hot).select(key)), key, "left_anti")
+    return rows.join(hubs, key).unionByName(plain.join(per_key.filter(F.col("n") <= hot), key))
+
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
@@ -16,17 +29,18 @@ def components(edges: DataFrame) -> DataFrame:
     """node and root (the component's smallest node) for edges (a, b) of longs; nodes without an edge aren't listed.
 
     Each round hangs every node's larger neighbours on its smallest one, then its smaller ones. Edges never grow in
-    number, the rounds grow as the logarithm of the longest path, and nothing is gathered: a hub is a join key whose
-    rows Spark may split. Rounds are written to the shared folder. Null ends and loops are left out.
+    number, the rounds grow as the logarithm of the longest path, and nothing is gathered: what the edges of a hub need is
+    broadcast to them. Rounds are written to the shared folder. Null ends and loops are left out.
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = cut(edges, "edges")
     mark = _mark(edges)
     while mark[0]:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        least = both.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.least(F.min("v"), F.first("u")).alias("m"))
+        large = cut(spread_join(both, least, "u", 2 * mark[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
+        least = large.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("m"))
+        small = spread_join(large, least, "u", mark[0])
         # (u, m) from every edge, and (v, m) from those to a neighbour that isn't the least
         edges = cut(small.select(F.col("u"), F.col("m").alias("v")).union(small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
         before, mark = mark, _mark(edges)

@@ -89,13 +89,6 @@ def test_jaccard_join(docs, none, monkeypatch, bucket, block):
     assert jaccard_join.jaccard_join(none).count() == 0
 
 
-def test_prefix_shortens_until_recall():
-    lengths = [jaccard_join.prefix_length(0.8, r) for r in (0.9, 0.999999, 0.9999999999)]
-    assert lengths == sorted(lengths, reverse=True) and lengths[1] == 4
-    for r, n in zip((0.9, 0.999999), lengths, strict=False):
-        assert 1 - (1 - 0.8**n) ** jaccard_join.TREES >= r
-
-
 def test_components(spark):
     rng = random.Random(1)
     edges = [(k, k + 1) for k in range(60)] + [(200, 200 + k) for k in range(50)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(80)] + [(7, 7), (None, 3)]
