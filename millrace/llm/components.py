@@ -21,6 +21,17 @@ def spread_join(rows: DataFrame, per_key: DataFrame, key: str, total: int) -> Da
     return rows.join(hubs, key).unionByName(plain.join(per_key.filter(F.col("n") <= hot), key))
 
 
+def may_have(rows: DataFrame, wanted: DataFrame, key: str, bits: int = 1 << 23) -> DataFrame:
+    """``rows`` without most of those whose key isn't among ``wanted``'s, so that a join after it shuffles less.
+
+    A Bloom filter of one hash: at most bits / 64 rows are broadcast, whatever the number of keys."""
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64({key}), {bits}L) & 63 as int))")
+    words = wanted.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    found = rows.withColumn("word", F.shiftright(place, 6)).join(F.broadcast(words), "word")
+    return found.filter(F.col("bits").bitwiseAND(bit) != 0).drop("word", "bits")
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 

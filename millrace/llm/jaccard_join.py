@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, ship, slices, table, texts
-from .components import components, spread_join
+from .components import components, may_have, spread_join
 
 RUN = 5
 TREES, DEPTH = 30, 6
 VALUES = TREES * DEPTH
-BUCKET, BLOCK, BLOCK_BYTES = 2000, 512, 8 << 20
+BUCKET, BLOCK, BLOCK_BYTES = 2000, 256, 8 << 20
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -432,7 +432,8 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999
     least = int(VALUES * threshold - 5.5 * (VALUES * threshold * (1 - threshold)) ** 0.5)
     sets = cut(texts(docs).mapInArrow(lambda b: set_rows(b, floor), SETS), "shingle-sets")
     classes = cut(sets.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("row"), F.min("doc_id").alias("first"), F.first("size").alias("size"), *best), "classes")
-    one = sets.select("row", "labels", "signature").join(classes.filter("size > 0").select("row"), "row")
+    # sides that grow with the corpus are never broadcast, however small they are here
+    one = sets.select("row", "labels", "signature").join(classes.filter("size > 0").select("row").hint("merge"), "row")
     keys = one.select("row", F.posexplode("labels").alias("tree", "label"))
     subtries = keys.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = spread_join(keys, subtries, "label", TREES * classes.count()).join(one.select("row", "signature"), "row")
@@ -444,7 +445,8 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999
     clusters = cut(clusters.join(classes.select("row", "copies", "size"), "row"), "clusters")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") * 8 / BLOCK_BYTES)).alias("blocks")
     sized = spread_join(clusters, clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), blocks), "cluster", clusters.count())
-    shingled = sized.join(sets.select("row", "text"), "row").select("cluster", "blocks", "row", "copies", "text").mapInArrow(shingle_rows, SHINGLED)
+    clustered = may_have(sets.select("row", "text"), clusters, "row").join(sized.hint("merge"), "row")
+    shingled = clustered.select("cluster", "blocks", "row", "copies", "text").mapInArrow(shingle_rows, SHINGLED)
     met = _met(shingled, "cluster", "row", "copies", "shingles").select("meeting", "side", "row", "copies", "shingles")
     verified = cut(met.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(lambda b: verified_rows(b, threshold), VERIFIED), "links")
     links = verified.groupBy("row").agg(F.sum("links").alias("links"))

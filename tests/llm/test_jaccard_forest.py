@@ -5,9 +5,12 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import jaccard_join as jj
+from millrace.llm.components import may_have, spread_join
 
+from .test_operators import rows as rows_of
 from .test_operators import shingle_set
 
 D = "/root/testdata/sf0.01"
@@ -105,3 +108,18 @@ def test_recall_against_all_pairs(spark):
     links.update({d: len(blank) - 1 for d in blank})
     got = {r.doc_id: r.n_links for r in jj.op1_jaccard_join(spark, D).collect()}
     assert sum(links.values()) > 100 and got == {d: links[d] for d in sets}
+
+
+def test_filter_keeps_every_wanted_row(spark):
+    rows = spark.range(5000).select("id", (F.col("id") % 7).alias("word"))
+    wanted = spark.range(0, 5000, 50)
+    kept = {r.id for r in may_have(rows.select("id"), wanted, "id", 1 << 12).collect()}
+    assert {r.id for r in wanted.collect()} <= kept and len(kept) < 500
+    assert may_have(rows.select("id"), wanted.limit(0), "id").count() == 0
+
+
+def test_spread_join_equals_join(spark):
+    rows = spark.range(3000).select((F.when(F.col("id") < 2000, 1).otherwise(F.col("id") % 500)).alias("k"), "id")
+    per_key = rows.filter("k <> 3").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    for total in (3000, 1):
+        assert rows_of(spread_join(rows, per_key, "k", total)) == rows_of(rows.join(per_key, "k"))
