@@ -2,7 +2,7 @@
 
 Only the histogram of piece lengths (at most ``capacity`` numbers, whatever the corpus) comes to the driver. There,
 patterns of few documents that fill a sequence exactly are enumerated; how often to repeat each is fitted to the
-histogram by non-negative least squares and rounded down; what the patterns leave over is packed best fit, largest first,
+histogram by non-negative least squares and rounded; what the patterns leave over is packed best fit, largest first,
 again by repeated patterns. The plan is a table of length intervals: the pieces number r0 to r0 + times of a length go to
 these sequences at this offset. Pieces are numbered within their length by the task that made them plus what earlier
 tasks have of it, so no length is gathered anywhere, and each finds its place by a binary search in the plan.
@@ -10,11 +10,13 @@ tasks have of it, so no length is gathered anywhere, and each finds its place by
 
 from __future__ import annotations
 
+import json
+import math
 import os
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import filterfalse
+from itertools import chain, filterfalse, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Table, split_words, vocabulary
-from .common import cut, ship, slices, table, texts
+from .bpe import split_words, vocabulary
+from .common import cut, held, ship, slices, table, texts
 
 CAPACITY = 4096
+MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 END_ID = (1).to_bytes(4, "little")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
@@ -34,7 +37,7 @@ class Tokens:
     """Token ids of words, as little-endian bytes, by the tokenizers library. White space separates pre-tokens, so a
     text's ids are those of its words one after another; words seen lately aren't encoded again."""
 
-    def __init__(self, path: str, kept: int = 300_000):
+    def __init__(self, path: str, kept: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -42,55 +45,91 @@ class Tokens:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.parts = Table(lambda part: self._packed(self.library.encode(part, add_special_tokens=False).ids), kept)
-        self.known = Table(lambda word: b"".join([self.parts[p] for p in self._cut(word)]), kept)
-
-    @staticmethod
-    def _packed(ids: list[int]) -> bytes:
+        with open(path, encoding="utf-8") as f:
+            suffix = json.load(f)["model"].get("end_of_word_suffix")
+        names = self.library.get_vocab()
+        self.final = np.zeros(max(names.values()) + 1, bool)
+        self.final[[i for t, i in names.items() if suffix and t.endswith(suffix)]] = True
+        self.kept, self.known, self.old = kept, {}, {}
+
+    def _whole(self, word: str) -> bytes:
+        ids = self.library.encode(word, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _cut(self, word: str) -> tuple[str, ...]:
-        """Lower-case letters and a stop or comma are pre-tokens of their own; other words go to the library whole."""
-        if "Σ" not in word:  # whose lower case depends on its place
-            low = word.lower()
-            if low.isalpha():
-                return (low,)
-            if word[-1] in ".," and low[:-1].isalpha():
-                return low[:-1], word[-1]
-        return (word,)
-
-    def _encode(self, parts: list[str]) -> None:
-        for at in range(0, len(parts), 10_000):
-            some = parts[at : at + 10_000]
-            self.parts.put_all(some, [self._packed(e.ids) for e in self.library.encode_batch_fast(some, add_special_tokens=False)])
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        """Pre-tokens go to the library some hundred a text; a token that ends a word shows where one ends."""
+        out = []
+        for at in range(0, len(parts), 20_000):
+            some = parts[at : at + 20_000]
+            encoded = self.library.encode_batch_fast([" ".join(some[k : k + 200]) for k in range(0, len(some), 200)], add_special_tokens=False)
+            ids = np.concatenate([np.asarray(e.ids, np.uint32) for e in encoded])
+            ends = np.flatnonzero(self.final[ids]) * 4 + 4
+            if len(ends) == len(some):  # else some are more than one pre-token
+                raw, ends = ids.astype("<u4").tobytes(), ends.tolist()
+                out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            else:
+                out += map(self._whole, some)
+        return out
 
     def _learn(self, new: list[str]) -> None:
-        cuts, parts = [*map(self._cut, new)], self.parts
-        self._encode([*filterfalse(parts.old.__contains__, filterfalse(parts.__contains__, set().union(*cuts)))])
-        self.known.put_all(new, [parts[c[0]] if len(c) == 1 else parts[c[0]] + parts[c[1]] for c in cuts])
+        """Lower-case letters and what marks follow them are pre-tokens of their own; other words go to the library
+        whole. The lower case of sigma depends on its place, so the library makes it."""
+        heads, tails, whole = [], [], []
+        for word in new:
+            low = word if "Σ" in word else word.lower()
+            if low.isalpha():
+                heads.append(low)
+                tails.append("")
+                continue
+            head = low.rstrip(MARKS)
+            if head.isalpha():
+                heads.append(head)
+                tails.append(low[len(head) :])
+            else:
+                heads.append(word)
+                tails.append("")
+                whole.append(word)
+        known = self.known
+        known.update(zip(whole, map(self._whole, whole), strict=True))
+        parts = [*filterfalse(known.__contains__, {*heads, *tails} - {""})]
+        again = {part: ids for part in parts if (ids := self.old.get(part))}
+        known.update(again)
+        parts = [*filterfalse(again.__contains__, parts)]
+        known.update(zip(parts, self._encode(parts), strict=True))
+        known.update(zip(new, [known[h] + known[t] if t else known[h] for h, t in zip(heads, tails, strict=True)], strict=True))
 
     def __call__(self, batch: list[str]) -> Iterator[bytes]:
         split = [*map(self.split, batch)]
-        new = [*filterfalse(self.known.old.__contains__, filterfalse(self.known.__contains__, set().union(*split)))]
-        for at in range(0, len(new), 50_000):
-            self._learn(new[at : at + 50_000])
-        get = self.known.__getitem__
+        flat = [*chain.from_iterable(split)]
+        if len(self.known) >= self.kept:  # what is used again comes back from the old table
+            self.known, self.old = {}, self.known
+        known = self.known
+        found = [*map(known.get, flat)]
+        gaps = [k for k, ids in enumerate(found) if ids is None]
+        if gaps:
+            new = {flat[k] for k in gaps}
+            again = {word: ids for word in new if (ids := self.old.get(word)) is not None}
+            known.update(again)
+            new = [*new.difference(again)]
+            for at in range(0, len(new), 50_000):
+                self._learn(new[at : at + 50_000])
+            for k in gaps:
+                found[k] = known[flat[k]]
+        at = 0
         for words in split:
-            yield b"".join(map(get, words))
-
-
-_tokens: dict[str, Tokens] = {}
+            yield b"".join(found[at : at + len(words)])
+            at += len(words)
 
 
 def piece_rows(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
     """Documents to pieces of at most ``capacity`` ids; ``nth`` counts this task's pieces of the same length."""
-    tokens = _tokens.get(path) or _tokens.setdefault(path, Tokens(path))
+    tokens = held(("packing", path), lambda: Tokens(path))
     part = TaskContext.get().partitionId()
     counts = np.zeros(capacity + 1, np.int64)
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
     for batch in batches:
         docs, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for a, b in slices(bodies):
+        for a, b in slices(bodies, 1 << 18):
             rows = []
             for doc, raw in zip(docs[a:b], tokens(bodies[a:b]), strict=True):
                 raw += END_ID
@@ -126,8 +165,9 @@ def patterns_for(counts: np.ndarray, capacity: int, most_docs: int = 5, tries: i
     return np.unique(-np.sort(-np.concatenate(found), 1), axis=0)
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 8) -> list[float]:
-    """Repeat counts x >= 0 that minimise |A x - counts|, by cyclic coordinate descent (which leaves most at 0)."""
+def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> list[float]:
+    """Repeat counts x >= 0 that minimise |A x - counts|, by cyclic coordinate descent (which leaves most at 0) until no
+    count moves by a twentieth, or ``rounds`` times."""
     rest = counts.astype(float).tolist()
     rest[0] = 0.0  # what absent members point to
     x = [0.0] * len(patterns)
@@ -162,13 +202,18 @@ def pack_counts(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[list
         plan.append(([(capacity, 1)], int(left[capacity])))
         left[capacity] = 0
     patterns = patterns_for(left, capacity)
-    x = np.floor(fit(patterns, left)) if len(patterns) else []
-    for row, times in sorted(zip(patterns.tolist(), x, strict=True), key=lambda p: (-p[1], p[0])):
-        lengths, many = np.unique([n for n in row if n], return_counts=True)
-        times = int(min([times, *(left[lengths] // many)]))
-        if times > 0:
-            left[lengths] -= times * many
-            plan.append(([(int(n), int(m)) for n, m in zip(lengths[::-1], many[::-1], strict=True)], times))
+    # rounded, most repeated first; what rounding up takes too much of is cut to what is left, and once all counts are
+    # used, patterns rounded down to none take what they still find
+    x = fit(patterns, left) if len(patterns) else []
+    order = sorted(zip(patterns.tolist(), x, strict=True), key=lambda p: (-p[1], p[0]))
+    for rounded in (round, math.ceil):
+        for row, times in order:
+            pattern = [(n, len([*same])) for n, same in groupby(row) if n]
+            times = min([rounded(times), *(int(left[n]) // m for n, m in pattern)])
+            if times > 0:
+                for n, m in pattern:
+                    left[n] -= times * m
+                plan.append((pattern, times))
     # best fit, largest first: the largest length left, then again and again the largest that still fits
     there = [int(n) for n in np.flatnonzero(left)]
     while there:
