@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ship, table, texts
+from .common import held, ship, table, texts
 
 #: White space of the tokenizer's patterns; Python's own also has FS, GS, RS and US.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -280,16 +280,15 @@ class Table(dict):
         return self.put(word, self.make(word) if value is None else value)
 
 
-_loaded: dict[tuple, tuple] = {}
-
-
 def encoder(path: str, form, kept: int = 300_000) -> tuple[Bpe, Table]:
     """A Bpe of this worker, and a table word -> ``form(bpe, ids)``; kept between batches and tasks."""
-    if (path, form) not in _loaded:
+
+    def make():
         bpe = Bpe.from_file(path, kept=kept)
         ids_of = Table(bpe.encode_piece, kept)
-        _loaded[path, form] = bpe, Table(lambda word: form(bpe, bpe.encode_word(word, ids_of.__getitem__)), kept)
-    return _loaded[path, form]
+        return bpe, Table(lambda word: form(bpe, bpe.encode_word(word, ids_of.__getitem__)), kept)
+
+    return held(("bpe", path, form.__name__), make)
 
 
 def id_text_form(bpe: Bpe, ids: list[int]) -> tuple[int, str, str]:

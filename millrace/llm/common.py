@@ -68,6 +68,17 @@ def ship(spark: SparkSession) -> None:
     sc._millrace_shipped = True
 
 
+_held: dict = {}
+
+
+def held(key, make):
+    """What a Python worker keeps between tasks: one value, so tables of an earlier stage don't stay beside it."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def texts(docs: DataFrame, *more: str, text: str = "text") -> DataFrame:
     """Only ``doc_id``, the columns in ``more`` and ``text`` with nulls as empty: other columns can't clash."""
     return docs.select("doc_id", *more, F.coalesce(F.col(text), F.lit("")).alias("text"))

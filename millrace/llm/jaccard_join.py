@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, ship, slices, table, texts
+from .common import cut, held, ship, slices, table, texts
 from .components import components, may_have, spread_join
 
 RUN = 5
@@ -161,6 +161,7 @@ def set_rows(batches: Iterator[pa.RecordBatch], floor: int) -> Iterator[pa.Recor
     """Documents with their sets' digests, each trie's label prefix of ``floor`` values (as a 64-bit number) and
     signatures of a byte a value."""
     row = TaskContext.get().partitionId() << 40
+    held(None, dict)
     names = [x.split()[0] for x in SETS.split(", ")]
     for batch in batches:
         raws = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
