@@ -3,9 +3,11 @@
 Every partition starts as a *run*: its texts' digests, sorted, each with the best identifier seen. Runs then meet in
 binomial rounds. A run has an address of ``bits`` bits. In each round the runs whose addresses differ only in the
 next ``fan`` bits exchange parts: a run keeps the digests whose own leading bits match its new address and hands the
-others on, so each round merges 2**fan runs at once and replaces ``fan`` address bits by digest bits. After
-``bits / fan`` rounds an address consists of digest bits alone and every digest is in one place. No round gathers more
-than its share, and a digest with a third of all rows takes part with at most one row for each run.
+others on, so each round merges 2**fan runs at once and replaces ``fan`` address bits by digest bits. What meets is
+sorted runs one after another, so the sort (a TimSort) is a multiway merge of them; a window over the merged run keeps the
+best identifier of each digest and hands it on in order. After ``bits / fan`` rounds, at least two, an address consists of
+digest bits alone and every digest is in one place. No round gathers more than its share, and a digest with a third of
+all rows takes part with at most one row for each run.
 
 Only DataFrame functions are used.
 """
@@ -14,7 +16,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
@@ -25,11 +27,14 @@ def merge_round(runs: DataFrame, bits: int, done: int, keep: str) -> DataFrame:
     rest = bits - done
     lead = F.shiftright(F.col("lead"), 16 - bits)
     address = F.shiftleft(F.shiftright(lead, rest), rest).bitwiseOR(F.col("run").bitwiseAND(F.lit((1 << rest) - 1)))
-    best = F.max if keep == "max" else F.min
-    return runs.groupBy(address.alias("run"), "lead", "digest", "check").agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    best = F.col("keep_id").desc_nulls_last() if keep == "max" else F.col("keep_id").asc_nulls_last()
+    merged = Window.partitionBy("run", "digest", "check").orderBy(best)
+    met = runs.withColumn("run", address).repartition("run")
+    sized = F.sum("group_size").over(merged.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return met.select("run", "lead", "digest", "check", "keep_id", sized.alias("group_size"), F.row_number().over(merged).alias("nth")).filter("nth = 1").drop("nth")
 
 
-def exact_dedup(docs: DataFrame, keep: str = "max", bits: int | None = None, fan: int = 4, text: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, keep: str = "max", bits: int | None = None, fan: int | None = None, text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical, byte for byte; a null text counts as empty. Identity is verified by SHA-256 and an
@@ -41,6 +46,7 @@ def exact_dedup(docs: DataFrame, keep: str = "max", bits: int | None = None, fan
     spark = docs.sparkSession
     if bits is None:
         bits = max(2, min(16, math.ceil(math.log2(int(spark.conf.get("spark.sql.shuffle.partitions"))))))
+    fan = fan or max(1, min(4, bits // 2))
     body = F.coalesce(F.col(text), F.lit(""))
     rows = (
         docs.select("doc_id", body.alias("body"))
