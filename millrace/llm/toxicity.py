@@ -1,17 +1,17 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word's input is the vector of the word itself and the sum of those of its first 3, 4, 5 and 6 characters, so words never
-seen in training still tell by how they begin. The vectors start from how much more often training documents of one label
-have the word or beginning than those of the other, and are trained along with the network. It reads windows of
-``WINDOW`` words that overlap by a quarter, forwards and backwards; attention pools the states of each window; a document's
-score is that of its highest window, over all windows of its whole text. Only the model, whose size is bounded by that
-of the training sample, goes to the executors.
+A word's input is the vector of the word itself and the sum of those of its character n-grams: all runs of 3, 5 and 7
+characters of the word with a mark at either end, hashed to ``BUCKETS`` rows, so words never seen in training still tell
+by what they are made of. The vectors start from how much more often training documents of one label have the word or
+n-gram than those of the other, and are trained along with the network. It reads windows of ``WINDOW`` words that overlap
+by a quarter, forwards and backwards; attention pools the states of each window; a document's score is that of its highest
+window, over all windows of its whole text. Only the model, whose size is bounded by that of the training sample, goes to
+the executors.
 """
 
 from __future__ import annotations
 
-import math
-import struct
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -21,13 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Table
-from .common import crc_mod, ship, slices, table
+from .common import crc_mod, held, ship, slices, table
 
 WINDOW, STRIDE = 32, 24
 WORD_DIM = CHAR_DIM = 4
 HIDDEN, ATTEND = 8, 8
-_FIVE = struct.Struct("=5i")
+GRAMS, BUCKETS = (3, 5, 7), 1 << 16
 EDGE = ".,;:!?\"'()[]{}<>*_-"
 
 
@@ -35,8 +34,27 @@ def word_of(token: str) -> str:
     return token.strip(EDGE).lower() or token
 
 
-def beginnings(word: str) -> list[str]:
-    return [word[:n] for n in (3, 4, 5, 6) if len(word) >= n]
+def char_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Which word each character n-gram is of (in ascending order), and its row."""
+    codes = np.frombuffer(("\n" + "\n".join(words) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    edge = codes == 10
+    word = np.cumsum(edge) - 1
+    owners, rows = [np.zeros(0, int)], [np.zeros(0, np.int32)]
+    for n in GRAMS:
+        count = len(codes) - n + 1
+        if count <= 0:
+            continue
+        h, whole = np.zeros(count, np.uint64), np.ones(count, bool)
+        for k in range(n):
+            h = h * np.uint64(0x2545F4914F6CDD1D) + codes[k : k + count]
+            if 0 < k < n - 1:
+                whole &= ~edge[k : k + count]
+        h = h[whole]
+        owners.append(word[:count][whole])
+        rows.append(((h ^ h >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - BUCKETS.bit_length())).astype(np.int32))
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return owner[order], np.concatenate(rows)[order]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -58,12 +76,25 @@ def smallest(tokens: list[str], slots: int = 4) -> list[int]:
     return [least[k] for k in sorted(least)]
 
 
+def evidence(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Log odds for label 1 of features that ``counts`` (two rows, one a label) documents have, of ``n`` each.
+
+    A prior of four documents, dealt as the labels are, is added; and what so many features give by chance counts for
+    nothing (the log-likelihood ratio against the log of their number)."""
+    (b, a), share = counts.astype(float), n[1] / n.sum()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.nan_to_num(a * np.log(a / (a + b) / share)) + np.nan_to_num(b * np.log(b / (a + b) / (1 - share)))
+    prior = 4 * n / n.sum()
+    plain = np.log((a + prior[1]) / (n[1] + prior[1])) - np.log((b + prior[0]) / (n[0] + prior[0]))
+    return plain * np.clip(ratio / np.log(max(2, len(a))) - 0.6, 0, 0.6) / 0.6
+
+
 class Lexicon:
-    """Words and beginnings that at least ``least`` training documents have, with their evidence."""
+    """Words that at least ``least`` training documents have and character n-grams, with their evidence."""
 
     def __init__(self, texts: list[str], labels: np.ndarray, least: int = 3):
         words = [Counter(), Counter()]
-        chars = [Counter(), Counter()]
+        chars = np.zeros((2, BUCKETS), np.int64)
         seen: set = set()
         for text, label in zip(texts, labels, strict=True):
             marks = {(k, label, m) for k, m in enumerate(smallest(text.split()))}
@@ -73,24 +104,14 @@ class Lexicon:
                 continue
             own = {word_of(t) for t in text.split()}
             words[label].update(own)
-            chars[label].update({b for w in own for b in beginnings(w)})
-        n = [max(1, int((labels == k).sum())) for k in (0, 1)]
-        self.words, self.word_start = self._known(words, n, least)
-        self.chars, self.char_start = self._known(chars, n, least)
-
-    @staticmethod
-    def _known(counts, n, least) -> tuple[dict[str, int], np.ndarray]:
-        names = [k for k in sorted(counts[0].keys() | counts[1].keys()) if counts[0][k] + counts[1][k] >= least]
-        # a prior of four documents, dealt as the labels are; and what so many names give by chance counts for nothing
-        # (the log-likelihood ratio against the log of their number)
-        prior, share = [4 * n[k] / sum(n) for k in (0, 1)], n[1] / sum(n)
-        odds = []
-        for k in names:
-            b, a = counts[0][k], counts[1][k]
-            ratio = sum(x * math.log(x / (a + b) / q) for x, q in ((a, share), (b, 1 - share)) if x)
-            plain = math.log((a + prior[1]) / (n[1] + prior[1])) - math.log((b + prior[0]) / (n[0] + prior[0]))
-            odds.append(plain * min(1.0, max(0.0, ratio / math.log(len(names)) - 0.6) / 0.6))
-        return {k: i + 1 for i, k in enumerate(names)}, np.asarray([0.0, *odds])
+            chars[label][np.unique(char_grams([*own])[1])] += 1
+        n = np.asarray([max(1, int((labels == k).sum())) for k in (0, 1)])
+        names = [k for k in sorted(words[0].keys() | words[1].keys()) if words[0][k] + words[1][k] >= least]
+        self.words = {k: i + 1 for i, k in enumerate(names)}
+        self.word_start = np.concatenate([[0.0], evidence(np.asarray([[c[k] for k in names] for c in words]).reshape(2, -1), n)])
+        self.char_start = np.zeros(BUCKETS)
+        used = chars.sum(0) >= least
+        self.char_start[used] = evidence(chars[:, used], n)
 
 
 class Network:
@@ -98,29 +119,26 @@ class Network:
 
     def __init__(self, lexicon: Lexicon, seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.words, self.chars = lexicon.words, lexicon.chars
+        self.key, self.words = uuid.uuid4().hex, lexicon.words
         draw = lambda *shape, scale=0.1: rng.normal(0, scale, shape)
         dim = WORD_DIM + CHAR_DIM
-        self.p = {"word": draw(len(lexicon.word_start), WORD_DIM, scale=0.01), "char": draw(len(lexicon.char_start), CHAR_DIM, scale=0.01)}
+        self.p = {"word": draw(len(lexicon.word_start), WORD_DIM, scale=0.01), "char": draw(BUCKETS, CHAR_DIM, scale=0.001)}
         self.p["word"][:, 0] = 0.4 * lexicon.word_start
-        self.p["char"][:, 0] = 0.2 * lexicon.char_start
-        self.p["word"][0] = self.p["char"][0] = 0
+        self.p["char"][:, 0] = 0.1 * lexicon.char_start
+        self.p["word"][0] = 0
         for d in "fb":
             self.p |= {f"{d}x": draw(dim, 3 * HIDDEN, scale=0.3), f"{d}h": draw(HIDDEN, 3 * HIDDEN, scale=0.3), f"{d}b": np.zeros(3 * HIDDEN)}
         self.p |= {"a": draw(2 * HIDDEN, ATTEND, scale=0.3), "ab": np.zeros(ATTEND), "v": draw(ATTEND, scale=0.3), "out": draw(2 * HIDDEN, scale=0.3), "bias": np.full(1, -1.0)}
 
-    def ids(self, token: str) -> tuple[int, tuple[int, ...]]:
-        word = word_of(token)
-        return self.words.get(word, 0), tuple(i for b in beginnings(word) if (i := self.chars.get(b)))
+    def gathered(self, ids: np.ndarray, owner: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Vectors of words with these numbers and n-grams (whose of them, which row)."""
+        chars = [np.bincount(owner, self.p["char"][rows, d], len(ids)) for d in range(CHAR_DIM)]
+        return np.concatenate([self.p["word"][ids], np.stack(chars, 1)], 1)
 
-    def packed(self, token: str) -> bytes:
-        word, chars = self.ids(token)
-        return _FIVE.pack(word, *chars, *(0,) * (4 - len(chars)))
-
-    def vectors(self, packed: list[bytes]) -> np.ndarray:
-        """Vectors of the words with these numbers; the first, of no word, is 0."""
-        ids = np.frombuffer(bytes(_FIVE.size) + b"".join(packed), np.int32).reshape(-1, 5)
-        return np.concatenate([self.p["word"][ids[:, 0]], self.p["char"][ids[:, 1:]].sum(1)], 1)
+    def vectors(self, tokens: list[str]) -> np.ndarray:
+        words = [*map(word_of, tokens)]
+        ids = np.fromiter((self.words.get(w, 0) for w in words), np.int64, len(words))
+        return self.gathered(ids, *char_grams(words))
 
     def _gru(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None) -> np.ndarray:
         """States (steps, windows, HIDDEN) for inputs already projected; masked steps carry the state on."""
@@ -225,14 +243,31 @@ class Network:
         return g, inputs
 
 
-def _windows(ids: list[tuple[np.ndarray, np.ndarray]], at: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word ids, character ids (4 for each word, 0: none) and mask of the windows (document, start) in ``at``."""
-    words, chars, mask = np.zeros((WINDOW, len(at)), int), np.zeros((WINDOW, len(at), 4), int), np.zeros((WINDOW, len(at)))
+class Training:
+    """The training texts as numbers of their tokens, whose word ids and n-grams are listed once."""
+
+    def __init__(self, net: Network, texts: list[str]):
+        place: dict[str, int] = {}
+        self.docs = [np.asarray([place.setdefault(t, len(place) + 1) for t in text.split()], int) for text in texts]
+        words = ["", *map(word_of, place)]
+        self.ids = np.fromiter((net.words.get(w, 0) for w in words), np.int64, len(words))
+        owner, self.rows = char_grams(words)
+        self.rows = self.rows[owner > 0]  # number 0 is no word
+        self.at = np.concatenate([[0, 0], np.cumsum(np.bincount(owner[owner > 0], minlength=len(words))[1:])])
+
+    def grams(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        many = self.at[tokens + 1] - self.at[tokens]
+        inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        return np.repeat(np.arange(len(tokens)), many), self.rows[np.repeat(self.at[tokens], many) + inside]
+
+
+def _windows(docs: list[np.ndarray], at: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Token numbers and mask of the windows (document, start) in ``at``."""
+    tokens, mask = np.zeros((WINDOW, len(at)), int), np.zeros((WINDOW, len(at)))
     for j, (doc, start) in enumerate(at):
-        part = ids[doc][0][start : start + WINDOW]
-        words[: len(part), j], mask[: len(part), j] = part, 1
-        chars[: len(part), j] = ids[doc][1][start : start + WINDOW]
-    return words, chars, mask
+        part = docs[doc][start : start + WINDOW]
+        tokens[: len(part), j], mask[: len(part), j] = part, 1
+    return tokens, mask
 
 
 def train(texts: list[str], labels: np.ndarray, epochs: int = 6, batch: int = 256, least_steps: int = 240, rate: float = 0.01, least: float = 0.5, seed: int = 5) -> Network:
@@ -246,14 +281,8 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 6, batch: int = 25
     blank = max(8, len(texts) // 20)  # texts without words aren't toxic
     texts, labels = [*texts, *[""] * blank], np.concatenate([labels, np.zeros(blank, int)])
     rng = np.random.default_rng(seed)
-    of = Table(net.ids, 1 << 20)
-    ids = []
-    for text in texts:
-        own = [of[t] for t in text.split()]
-        chars = np.zeros((len(own), 4), int)
-        for k, (_, c) in enumerate(own):
-            chars[k, : len(c)] = c
-        ids.append((np.asarray([w for w, _ in own], int), chars))
+    data = Training(net, texts)
+    everything = np.arange(len(data.ids))
     batch = max(32, min(batch, 2 * len(texts) // 8))
     first, second, step = {k: np.zeros_like(v) for k, v in net.p.items()}, {k: np.zeros_like(v) for k, v in net.p.items()}, 0
     weight = np.array([1.0, min(8.0, max(1.0, (labels == 0).sum() / max(1, (labels == 1).sum())))])
@@ -261,13 +290,14 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 6, batch: int = 25
     while len(texts) and (epoch < epochs or step < least_steps):
         epoch += 1
         at, ys = [], []
-        for doc, (words, chars) in enumerate(ids):
-            starts = window_starts(len(words))
+        owner, rows = data.grams(everything)
+        signs = net.p["word"][data.ids, 0] + np.bincount(owner, net.p["char"][rows, 0], len(everything))
+        for doc, tokens in enumerate(data.docs):
+            starts = window_starts(len(tokens))
             chosen = set()
-            if len(words):
-                evidence = net.p["word"][words, 0] + net.p["char"][chars, 0].sum(1)
-                peak = int(np.argmax(evidence))
-                if not labels[doc] or evidence[peak] > least:
+            if len(tokens):
+                peak = int(np.argmax(signs[tokens]))
+                if not labels[doc] or signs[tokens[peak]] > least:
                     chosen.add(next(s for s in reversed(starts) if s <= peak))
             if not labels[doc]:
                 chosen |= {int(s) for s in rng.choice(starts, 2)}
@@ -276,9 +306,11 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 6, batch: int = 25
         order = rng.permutation(len(at))
         for k in range(0, len(order), batch):
             part = order[k : k + batch]
-            words, chars, mask = _windows(ids, [at[i] for i in part])
+            tokens, mask = _windows(data.docs, [at[i] for i in part])
             y = np.asarray([ys[i] for i in part], float)
-            x = np.concatenate([net.p["word"][words], net.p["char"][chars].sum(2)], 2)
+            own, place = np.unique(tokens, return_inverse=True)
+            owner, rows = data.grams(own)
+            x = net.gathered(data.ids[own], owner, rows)[place.reshape(tokens.shape)]
             keep: dict = {}
             slope = (sigmoid(net.forward(x, mask, keep)) - y) * weight[y.astype(int)] / len(part)
             g, inputs = net.backward(x, mask, keep, slope)
@@ -289,18 +321,38 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 6, batch: int = 25
                 net.p[name] -= rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)
             # the vectors: plain steps, of the rows that occurred
             inputs *= -rate * mask[..., None]
-            np.add.at(net.p["word"], words.ravel(), inputs[..., :WORD_DIM].reshape(-1, WORD_DIM))
-            np.add.at(net.p["char"], chars.reshape(-1, 4).T.ravel(), np.tile(inputs[..., WORD_DIM:].reshape(-1, CHAR_DIM), (4, 1)))
-            net.p["word"][0] = net.p["char"][0] = 0
+            moves = np.stack([np.bincount(place.ravel(), inputs[..., d].ravel(), len(own)) for d in range(WORD_DIM + CHAR_DIM)], 1)
+            np.add.at(net.p["word"], data.ids[own], moves[:, :WORD_DIM])
+            np.add.at(net.p["char"], rows, moves[owner, WORD_DIM:])
+            net.p["word"][0] = 0
     return net
 
 
-def text_scores(net: Network, known: Table, bodies: list[str], most: int = 2048) -> list[float]:
+class Known:
+    """Vectors of tokens; those of about ``kept`` seen lately aren't computed again."""
+
+    def __init__(self, net: Network, kept: int = 200_000):
+        self.net, self.kept, self.known, self.old = net, kept, {}, {}
+
+    def __call__(self, tokens: list[str]) -> np.ndarray:
+        """Vectors of different tokens after one of zeros."""
+        if len(self.known) >= self.kept:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        found = [known.get(t) or old.get(t) for t in tokens]
+        if new := [t for t, v in zip(tokens, found, strict=True) if v is None]:
+            made = iter([v.tobytes() for v in self.net.vectors(new).astype(np.float32)])
+            found = [v or next(made) for v in found]
+        known.update(zip(tokens, found, strict=True))
+        return np.frombuffer(bytes(4 * (WORD_DIM + CHAR_DIM)) + b"".join(found), np.float32).reshape(-1, WORD_DIM + CHAR_DIM)
+
+
+def text_scores(net: Network, known: Known, bodies: list[str], most: int = 2048) -> list[float]:
     """Scores of whole texts: the highest of all their windows."""
     split = [t.split() for t in bodies]
     unique = list(set().union(*split)) if split else []
     place = {w: i + 1 for i, w in enumerate(unique)}
-    vectors = net.vectors(list(map(known.__getitem__, unique)))
+    vectors = known(unique)
     rows, owner = [], []
     for doc, words in enumerate(split):
         ids = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
@@ -319,23 +371,24 @@ def text_scores(net: Network, known: Table, bodies: list[str], most: int = 2048)
 
 def score_rows(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     net = model.value
-    known = Table(net.packed, 300_000)
+    known = held(("toxicity", net.key), lambda: Known(net))
     for batch in batches:
         bodies = batch.column(batch.num_columns - 1).to_pylist()
-        scores = [s for a, b in slices(bodies) for s in text_scores(net, known, bodies[a:b])]
+        scores = [s for a, b in slices(bodies, 1 << 20) for s in text_scores(net, known, bodies[a:b])]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "score"])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, modulus: int, held: int, sample: int, longest: int) -> list:
-    """About ``sample`` documents of either label (all if there are fewer), none over ``longest`` characters, none held
-    out; chosen by a hash of the id."""
+    """About ``sample`` documents of either label (all if there are fewer; at most 3 * ``sample`` in all), none over
+    ``longest`` characters, none held out; chosen by a hash of the id. Of rows that share an id the least text counts."""
     known = labels.select("doc_id", "toxic").dropna().groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter(crc_mod("doc_id", modulus) != held)
     counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     share = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     keep = F.when(F.col("toxic") == 1, sample / max(sample, counts.get(1, 0))).otherwise(sample / max(sample, counts.get(0, 0)))
-    chosen = known.filter(share < keep).limit(3 * sample)
+    chosen = known.filter(share < keep).orderBy(share, "doc_id").limit(3 * sample)
     body = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") <= longest)
-    return body.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").collect()  # 3 * sample ids at most
+    own = body.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    return own.orderBy("doc_id").collect()  # at most 3 * sample rows
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, sample: int = 1500, longest: int = 20_000) -> Network:
@@ -361,10 +414,10 @@ def score_toxicity(docs: DataFrame, net: Network, *more: str) -> DataFrame:
 
 def _clean(batches: Iterator[pa.RecordBatch], model, at: int, cut: float) -> Iterator[pa.RecordBatch]:
     net = model.value
-    known = Table(net.packed, 300_000)
+    known = held(("toxicity", net.key), lambda: Known(net))
     for batch in batches:
         bodies = [t or "" for t in batch.column(at).to_pylist()]
-        for a, b in slices(bodies):
+        for a, b in slices(bodies, 1 << 20):
             scores = text_scores(net, known, bodies[a:b])
             yield pa.RecordBatch.from_arrays([c[a:b] for c in batch.columns], schema=batch.schema).filter(pa.array([s < cut for s in scores]))
 

@@ -70,6 +70,14 @@ def test_exact_dedup(docs, none):
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
+def test_exact_dedup_merges_sorted_runs(spark, docs):
+    plan = exact_dedup.merge_round(exact_dedup.merge_round(spark.range(9).selectExpr("cast(id as int) AS run", "cast(id as int) AS lead", "cast(cast(id as string) as binary) AS digest", "id AS check", "id AS keep_id", "id AS group_size"), 4, 2, "max"), 4, 4, "max")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Window") >= 2 and text.count("Exchange hashpartitioning(run") == 2 and "Aggregate" not in text
+    whole = exact_dedup.exact_dedup(docs)._jdf.queryExecution().executedPlan().toString()
+    assert whole.count("REPARTITION_BY_COL") >= 2  # at 4 partitions too
+
+
 def shingle_set(t):
     w = re.findall(r"[^ \t-\r]+", t or "")
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
@@ -478,3 +486,29 @@ def test_salvage(zipped):
     assert read(b"") == [] and isinstance(read(b"nothing")[0], warc.Gap)
     if zipped:
         assert len(read(gzip.compress(b"not a record") + whole)) == 7
+
+
+def test_patterns_carry_most_pieces():
+    """Of the lengths of the tables' documents; the number of sequences is the least there can be."""
+    rng = np.random.default_rng(4)
+    for n, least in ((1000, 0.6), (10_000, 0.8)):
+        counts = np.bincount(np.minimum(4096, rng.lognormal(6.3, 0.9, n).astype(int) + 1), minlength=4097)
+        patterns = {tuple(x for x in row if x) for row in packing.patterns_for(np.where(np.arange(4097) < 4096, counts, 0), 4096).tolist()}
+        plan = packing.pack_counts(counts)
+        by = sum(times * sum(m for _, m in p) for p, times in plan if tuple(x for x, m in p for _ in range(m)) in patterns)
+        assert by >= least * counts[:4096].sum()
+        assert sum(times for _, times in plan) == -(-int((counts * np.arange(4097)).sum()) // 4096)
+
+
+def test_words_are_encoded_as_the_library_does(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = bpe.vocabulary()
+    library = Tokenizer.from_file(path)
+    tokens = packing.Tokens(path, kept=50)  # tables that turn over all the time
+    rng = random.Random(9)
+    odd = ["ΑΣ", "ΑΣ.", "Σ", "naïve,", "can't", "it's.", "x'", "don't!!", "a<|endoftext|>b", "<|startoftext|>", "क़", "क़.", "5%", "a5.", "...", "é", "é", "ﬁ!", "İ.", "ǅ", "한", "가", "́", "a_b", "a|b|", "<a>", "=>", "A.B.", "日本。", "😀!", "a\x1cb", "\x1c", "ß)", "'s", "'", "''s"]
+    words = odd + ["".join(rng.choice("abcDEé") for _ in range(rng.randrange(1, 9))) + rng.choice(["", ".", ",", "!!", "###", "-x"]) for _ in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 60))) for _ in range(80)] + ["", " \n"]
+    got = [*tokens(texts[:30]), *tokens(texts[30:])]
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]

@@ -28,7 +28,7 @@ def test_query_equals_sql(spark, name):
 def test_pipeline_equals_brute_force(spark):
     docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{D}/documents.parquet").collect()]
     net = toxicity.fit(spark.read.parquet(f"{D}/documents.parquet"), spark.read.parquet(f"{D}/labels.parquet"))
-    scores = toxicity.text_scores(net, toxicity.Table(net.packed, 1000), [t for _, t in docs])
+    scores = toxicity.text_scores(net, toxicity.Known(net, 1000), [t for _, t in docs])
     kept = [d for d, s in zip(docs, scores, strict=True) if s < 0.3]
     last = {t: d for d, t in sorted(kept)}
     kept = [(d, t) for d, t in kept if last[t] == d]
