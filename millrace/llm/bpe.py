@@ -3,7 +3,7 @@
 A sequence of tokens is what BPE makes of their joined text exactly if every two neighbours are (each pair, joined and
 merged on its own, gives the pair back). So the last token of every prefix can be found from left to right: it is the
 token that ends there and fits the last token of the prefix before it. The transducer keeps these for the last
-``lookahead`` symbols only, the longest token's length: any later token starts there, so a token from which all of
+``lookahead`` symbols only, the length of the longest text that the merge list makes one token: any later token starts there, so a token from which all of
 them descend can't change any more and is emitted. Memory is constant however long the text is.
 
 White space and the pre-tokenizer's pattern cut a text into short pieces; what the transducer emits for a piece is kept
@@ -31,6 +31,10 @@ _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{
 _WORDS = regex.compile(rf"[^{SPACE}]+")
 
 
+#: A piece's first symbols, after which the transducer's states are kept, and of how many such beginnings.
+BEGIN, STARTS = 4, 60_000
+
+
 def byte_symbols() -> list[str]:
     """The printable character that byte-level BPE writes for each byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -83,7 +87,9 @@ class Bpe:
                 inner[token] = i
         self.inner, self.final = inner, final if self.suffix else inner
         self.back = {c: b for b, c in self._bytes.items()}
-        self.lookahead = max(map(len, [*inner, *final]))
+        # no token is longer than what a merge makes, so a token that ends at a symbol starts at most that far before it
+        self.lookahead = max([1, *(len(a) + len(b) - (len(self.suffix) if self.suffix and b.endswith(self.suffix) else 0) for a, b in merges)])
+        self.starts: dict[str, tuple[list[int], list[int]]] = {}
         self._fits: dict[int, bool] = {}
         self.kept = kept
 
@@ -230,7 +236,18 @@ class Transducer:
             yield self.last[e]
 
     def run(self, piece: str) -> Iterator[int]:
-        yield from self.push(piece[:-1])
+        """A whole piece; the states after its first symbols are those of the last piece that began so."""
+        head = piece[: min(BEGIN, len(piece) - 1)]
+        found = self.bpe.starts.get(head)
+        if found:
+            self.text, self.last, self.back = head, found[0].copy(), found[1].copy()
+        else:
+            yield from self.push(head)
+            if len(self.text) == len(head):  # nothing is emitted yet
+                if len(self.bpe.starts) >= STARTS:
+                    self.bpe.starts.clear()
+                self.bpe.starts[head] = self.last.copy(), self.back.copy()
+        yield from self.push(piece[len(head) : -1])
         yield from self.finish(piece[-1])
 
 
@@ -255,29 +272,29 @@ class Decoder:
         return self._utf8.decode(b"", True) if self.byte_level else ""
 
 
-class Table(dict):
-    """word -> value, made on demand. Holds ``kept`` entries and, until as many new ones have come, the ``kept`` before,
+class Table:
+    """word -> value, made on demand. Holds about ``kept`` entries and, until as many new ones have come, those before,
     so its memory is bounded and what is used often stays."""
 
     def __init__(self, make, kept: int):
-        self.make, self.kept, self.old = make, kept, {}
-
-    def put(self, word, value):
-        if len(self) >= self.kept:
-            self.old = dict(self)
-            self.clear()
-        self[word] = value
+        self.make, self.kept, self.known, self.old = make, kept, {}, {}
+
+    def __getitem__(self, word):
+        value = self.known.get(word)
+        if value is None:
+            if len(self.known) >= self.kept:
+                self.known, self.old = {}, self.known
+            value = self.old.get(word)
+            value = self.known[word] = self.make(word) if value is None else value
         return value
 
-    def put_all(self, words: list, values: list) -> None:
-        if len(self) + len(words) > self.kept:
-            self.old = dict(self)
-            self.clear()
-        self.update(zip(words, values, strict=True))
-
-    def __missing__(self, word):
-        value = self.old.get(word)
-        return self.put(word, self.make(word) if value is None else value)
+    def all(self, words: list) -> list:
+        """The values of many words; one lookup for those that are known."""
+        found = [*map(self.known.get, words)]
+        for k, value in enumerate(found):
+            if value is None:
+                found[k] = self[words[k]]
+        return found
 
 
 def encoder(path: str, form, kept: int = 300_000) -> tuple[Bpe, Table]:
@@ -296,14 +313,13 @@ def id_text_form(bpe: Bpe, ids: list[int]) -> tuple[int, str, str]:
 
 
 def digest_rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    bpe, known = encoder(path, id_text_form)
-    of = known.__getitem__
+    _, known = encoder(path, id_text_form)
     for batch in batches:
         counts, ids, decoded = [], [], []
         for text in batch.column(1).to_pylist():
             n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
             for words in word_blocks(text):
-                parts = [p for p in map(of, words) if p[0]]
+                parts = [p for p in known.all(words) if p[0]]
                 if not parts:
                     continue
                 between = " " if n else ""
@@ -318,9 +334,8 @@ def digest_rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Rec
 
 def encode_ids(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     bpe, known = encoder(path, plain_form)
-    of = known.__getitem__
     for batch in batches:
-        ids = [[i for p in map(of, bpe.words(t)) for i in p] for t in batch.column(1).to_pylist()]
+        ids = [[i for p in known.all(bpe.words(t)) for i in p] for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
 
