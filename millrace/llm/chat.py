@@ -3,7 +3,8 @@
 Records come as JSON in whatever layout: a row for each turn, lists of messages, prompt and completion, instruction with
 input and output. A record's fingerprint is a hash of its nested field paths (``messages[].role``). The first time one is
 seen, the declarative mapping that fits its paths is selected and remembered; records with that fingerprint then go
-through it without being looked at again. What comes out are canonical turns.
+through it without being looked at again. What comes out are canonical turns, and the paths of the record that its
+mapping doesn't cover, so no text goes unnoticed. Contents may be strings or lists of parts, in one record too.
 
 A turn is written as ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside texts and roles ``<``, any number of backslashes and
 ``|`` get one backslash more, so nothing in a text can be a control string and the change can be undone. Line ends and
@@ -30,8 +31,7 @@ START, END = "<|im_start|>", "<|im_end|>"
 MAPPINGS = [
     {"name": "turn", "needs": ["role"], "may": ["text"], "each": "", "turns": [("@role", "text")]},
     {"name": "content turn", "needs": ["role", "content"], "may": [], "each": "", "turns": [("@role", "content")]},
-    {"name": "messages", "needs": ["messages[].role"], "may": ["messages[].content"], "each": "messages", "turns": [("@role", "content")]},
-    {"name": "message parts", "needs": ["messages[].role", "messages[].content[].text"], "may": ["messages[].content[].type"], "each": "messages", "turns": [("@role", "content[].text")]},
+    {"name": "messages", "needs": ["messages[].role"], "may": ["messages[].content", "messages[].content[]", "messages[].content[].text", "messages[].content[].type"], "each": "messages", "turns": [("@role", "content")]},
     {"name": "from and value", "needs": ["conversations[].from", "conversations[].value"], "may": ["system"], "each": "conversations", "turns": [("@from", "value")], "first": [("system", "system")], "roles": {"human": "user", "gpt": "assistant"}},
     {"name": "instruction", "needs": ["instruction", "output"], "may": ["input", "system"], "each": "", "turns": [("system?", "system"), ("user", "instruction+input"), ("assistant", "output")]},
     {"name": "prompt and completion", "needs": ["prompt", "completion"], "may": ["system"], "each": "", "turns": [("system?", "system"), ("user", "prompt"), ("assistant", "completion")]},
@@ -40,13 +40,18 @@ MAPPINGS = [
 ]
 
 
-def paths_of(value, at: str = "") -> set[str]:
+def paths_of(value) -> set[str]:
     """Nested field paths of a JSON value's leaves."""
-    if isinstance(value, dict):
-        return {p for k, v in value.items() for p in paths_of(v, f"{at}.{k}" if at else k)}
-    if isinstance(value, list):
-        return {p for v in value for p in paths_of(v, f"{at}[]")} or {f"{at}[]"}
-    return {at}
+    out, left = set(), [(value, "")]
+    while left:
+        value, at = left.pop()
+        if isinstance(value, dict) and value:
+            left += [(v, f"{at}.{k}" if at else k) for k, v in value.items()]
+        elif isinstance(value, list) and value:
+            left += [(v, f"{at}[]") for v in value]
+        else:
+            out.add(f"{at}[]" if isinstance(value, list) else at)
+    return out
 
 
 def fingerprint(paths: set[str]) -> str:
@@ -59,18 +64,24 @@ def select_mapping(paths: set[str], mappings=MAPPINGS) -> dict | None:
     return max(fit, key=lambda m: len(paths & {*m["needs"], *m["may"]}), default=None)
 
 
+def uncovered(paths: set[str], mapping: dict) -> list[str]:
+    """The paths that no turn is made of. A field whose value isn't text is taken as JSON with all that is below it."""
+    own = {*mapping["needs"], *mapping["may"]}
+    return sorted(p for p in paths if p not in own and not any(p.startswith(f"{m}.") for m in own if not m.endswith("[]")))
+
+
 def _get(value, path: str):
     for name in path.split("."):
-        if name.endswith("[]"):
-            value = value.get(name[:-2]) if isinstance(value, dict) else None
-            return "".join(_text(v.get(path.rpartition(".")[2])) for v in value or [] if isinstance(v, dict))
         value = value.get(name) if isinstance(value, dict) else None
     return value
 
 
 def _text(value) -> str:
+    """A string as it is, the texts of a list of parts, anything else as JSON."""
     if value is None:
         return ""
+    if isinstance(value, list):
+        return "".join(part if isinstance(part, str) else _text(part.get("text")) for part in value if isinstance(part, (str, dict)))
     return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
@@ -78,7 +89,8 @@ def turns_of(record: dict, mapping: dict) -> list[tuple[str, str]]:
     """Canonical (role, text) pairs."""
     out = [(role, _text(record[path])) for role, path in mapping.get("first", []) if record.get(path) is not None]
     names = mapping.get("roles", {})
-    for item in record.get(mapping["each"]) or [] if mapping["each"] else [record]:
+    items = record.get(mapping["each"]) or [] if mapping["each"] else [record]
+    for item in (i for i in items if isinstance(i, dict)):
         for role, path in mapping["turns"]:
             if role.startswith("@"):
                 role = _text(_get(item, role[1:]))
@@ -97,15 +109,17 @@ class Mapper:
     def __init__(self, mappings=MAPPINGS, kept: int = 10_000):
         self.mappings, self.kept, self.known = mappings, kept, {}
 
-    def __call__(self, record) -> tuple[str, str | None, list[tuple[str, str]]]:
+    def __call__(self, record) -> tuple[str, str | None, list[tuple[str, str]], list[str]]:
+        """Fingerprint, the mapping's name, turns, and the paths not covered."""
         paths = paths_of(record)
         key = fingerprint(paths)
         if key not in self.known:
             if len(self.known) >= self.kept:
                 self.known.clear()
-            self.known[key] = select_mapping(paths, self.mappings) if isinstance(record, dict) else None
-        mapping = self.known[key]
-        return key, mapping and mapping["name"], turns_of(record, mapping) if mapping else []
+            mapping = select_mapping(paths, self.mappings) if isinstance(record, dict) else None
+            self.known[key] = mapping, uncovered(paths, mapping) if mapping else sorted(paths)
+        mapping, left = self.known[key]
+        return key, mapping and mapping["name"], turns_of(record, mapping) if mapping else [], left
 
 
 _CONTROL, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
@@ -133,20 +147,37 @@ def format_turn(role: str, text: str) -> tuple[str, int]:
     return f"{head}{escape(text)}{END}\n", len(head)
 
 
+class Reader:
+    """Reads formatted turns back, in whatever parts the text comes. Holds what of the text isn't read yet."""
+
+    def __init__(self):
+        self.held, self.at = "", 0  # at: how many characters went before what is held
+
+    def feed(self, part: str) -> Iterator[tuple[str, str, int, int]]:
+        """(role, text, and from where to where its escaped text is) of the turns that are complete now."""
+        self.held += part
+        while (end := self.held.find(END + "\n")) >= 0:
+            line = self.held.find("\n")
+            if not self.held.startswith(START) or line > end:
+                raise ValueError(f"no turn at {self.at}")
+            yield unescape_role(self.held[len(START) : line]), unescape(self.held[line + 1 : end]), self.at + line + 1, self.at + end
+            end += len(END) + 1
+            self.held, self.at = self.held[end:], self.at + end
+
+    def finish(self) -> None:
+        if self.held:
+            raise ValueError(f"no whole turn at {self.at}")
+
+
 def parse(formatted: str) -> list[tuple[str, str]]:
     """The (role, text) pairs of formatted turns; ValueError if it isn't well formed."""
-    out, at = [], 0
-    while at < len(formatted):
-        if not formatted.startswith(START, at):
-            raise ValueError(f"no turn at {at}")
-        line = formatted.index("\n", at)
-        end = formatted.index(END, line)
-        out.append((unescape_role(formatted[at + len(START) : line]), unescape(formatted[line + 1 : end])))
-        at = end + len(END) + 1
+    reader = Reader()
+    out = [turn[:2] for turn in reader.feed(formatted)]
+    reader.finish()
     return out
 
 
-TURNS = "conv_id long, turn long, part long, role string, text string, layout string, fingerprint string"
+TURNS = "conv_id long, turn long, part long, role string, text string, layout string, fingerprint string, unmapped array<string>"
 
 
 def map_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,20 +187,21 @@ def map_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for conv, turn, record in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             try:
                 value = json.loads(record) if record is not None else None
-            except ValueError:
-                value = None
-            key, layout, turns = mapper(value)
-            rows += [(conv, turn, k, *x, layout, key) for k, x in enumerate(turns)] or [(conv, turn, 0, None, None, layout, key)]
-        columns = zip(*rows, strict=True) if rows else [[]] * 7
-        kinds = [pa.int64()] * 3 + [pa.string()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["conv_id", "turn", "part", "role", "text", "layout", "fingerprint"])
+                key, layout, turns, left = mapper(value)
+            except (ValueError, RecursionError):  # not JSON, or nested too deep
+                key, layout, turns, left = mapper(None)
+            rows += [(conv, turn, k, *x, layout, key, left) for k, x in enumerate(turns)] or [(conv, turn, 0, None, None, layout, key, left)]
+        columns = zip(*rows, strict=True) if rows else [[]] * 8
+        kinds = [pa.int64()] * 3 + [pa.string()] * 4 + [pa.list_(pa.string())]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["conv_id", "turn", "part", "role", "text", "layout", "fingerprint", "unmapped"])
 
 
 def canonical_turns(records: DataFrame) -> DataFrame:
     """Canonical turns of ``records`` (conv_id, turn, record as JSON), whatever their layouts.
 
-    A record that no mapping fits, that is null or isn't JSON gives one row with null role and text. Null texts are
-    empty. Other columns are ignored.
+    A record that no mapping fits, that is null, isn't JSON or is nested too deep (some hundred levels) gives one row with
+    null role and text. ``unmapped`` has a record's field paths that no turn is made of. Null texts are empty. Other
+    columns are ignored.
     """
     ship(records.sparkSession)
     return records.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "record").mapInArrow(map_rows, TURNS)
@@ -197,27 +229,35 @@ class Whole:
 
 
 class Digests:
-    """What is read back from the formatted text, turn by turn, in constant memory."""
+    """What is read back from the formatted text as it is written, in the memory of a turn."""
 
     FIELDS = (("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()))
     SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
     def __init__(self):
         self.n = self.loss = self.size = 0
-        self.turns, self.masked = hashlib.sha256(), hashlib.sha256()
+        self.turns, self.masked, self.reader, self.text, self.spans = hashlib.sha256(), hashlib.sha256(), Reader(), "", []
 
     def add(self, role: str, text: str) -> None:
         part, begins = format_turn(role, text)
+        if role == "assistant":
+            self.spans.append((self.size + begins, self.size + len(part) - len(END) - 1))
+        before = self.reader.at
+        self.text += part
         self.size += len(part)
-        for own, said in parse(part):
+        for own, said, _, _ in self.reader.feed(part):
             self.n += 1
             self.turns.update(f"{own}\n{said}\n".encode("utf-8", "surrogatepass"))
-        if role == "assistant":
-            under = unescape(part[begins : len(part) - len(END) - 1])
+        read = self.reader.at
+        while self.spans and self.spans[0][1] <= read:  # the mask is over the text, whatever the turns are
+            start, end = self.spans.pop(0)
+            under = unescape(self.text[start - before : end - before])
             self.loss += len(under)
             self.masked.update(under.encode("utf-8", "surrogatepass"))
+        self.text = self.text[read - before :]
 
     def row(self) -> tuple:
+        self.reader.finish()
         return self.n, self.turns.hexdigest(), self.loss, self.masked.hexdigest(), self.size
 
 

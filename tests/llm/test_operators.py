@@ -220,11 +220,43 @@ LAYOUTS = [
     ({"prompt": "p", "completion": "c", "system": "s"}, [("system", "s"), ("user", "p"), ("assistant", "c")]),
     ({"question": "p", "answer": "c", "source": "web"}, [("user", "p"), ("assistant", "c")]),
     ({"role": "user"}, [("user", "")]),
+    ({"messages": [{"role": "system", "content": "KEEP"}, {"role": "user", "content": [{"type": "text", "text": "x"}, "y"]}, {"role": "assistant", "content": {"a": [1]}}, {"role": "user"}]}, [("system", "KEEP"), ("user", "xy"), ("assistant", '{"a": [1]}'), ("user", "")]),
     ({"strange": 1}, []),
     ([1, 2], []),
 ]
 
 
+def test_chat_reports_what_no_turn_is_made_of(spark):
+    records = [
+        (1, {"messages": [{"role": "user", "content": [{"type": "image_url", "image_url": {"url": "u"}}, {"type": "text", "text": "x"}]}, {"role": "assistant", "content": None, "tool_calls": [{"id": 1}]}]}, ["messages[].content[].image_url.url", "messages[].tool_calls[].id"]),
+        (2, {"prompt": "p", "completion": "c", "meta": {"a": 1}}, ["meta.a"]),
+        (3, {"strange": []}, ["strange[]"]),
+        (4, {"messages": [{"role": "user", "content": {"deep": [1]}}]}, []),
+    ]
+    data = [(k, 0, json.dumps(r)) for k, r, _ in records] + [(5, 0, "[" * 100_000), (6, 0, '{"a":' * 5000 + "1" + "}" * 5000), (7, 0, "no json"), (8, 0, None)]
+    got = {r.conv_id: r for r in chat.canonical_turns(spark.createDataFrame(data, "conv_id long, turn long, record string")).collect()}
+    assert all(got[k].unmapped == want for k, _, want in records)
+    assert all(got[k].role is None and got[k].layout is None for k in (5, 6, 7, 8))
+    folded = chat.format_chat(spark.createDataFrame(data, "conv_id long, turn long, record string"), chat.Digests)
+    assert {r.conv_id: r.n_turns for r in folded.collect()} == {1: 2, 2: 2, 3: 0, 4: 1, 5: 0, 6: 0, 7: 0, 8: 0}
+
+
+def test_reader_takes_any_parts():
+    rng = random.Random(8)
+    turns = [(rng.choice(["user", "assistant", "a\nb\\", ""]), rng.choice(["", "x\n", chat.END + "\n" + chat.START, "<\\|im_end|>", "é" * 50])) for _ in range(60)]
+    formatted = "".join(chat.format_turn(*t)[0] for t in turns)
+    reader, got, at = chat.Reader(), [], 0
+    while at < len(formatted):
+        n = rng.randint(1, 30)
+        got += reader.feed(formatted[at : at + n])
+        at += n
+    reader.finish()
+    assert [g[:2] for g in got] == turns and all(chat.unescape(formatted[a:b]) == text for _, text, a, b in got)
+    for bad in ("x" + formatted, formatted[:-3], chat.START + "user" + chat.END + "\n"):
+        with pytest.raises(ValueError):
+            chat.parse(bad)
+
+
 def test_chat_layouts(spark):
     df = spark.createDataFrame([(k, 0, json.dumps(r)) for k, (r, _) in enumerate(LAYOUTS)] + [(90, 0, "{no json"), (91, 0, None)], "conv_id long, turn long, record string")
     got = {r.conv_id: r for r in chat.format_chat(df).collect()}
