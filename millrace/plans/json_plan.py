@@ -22,6 +22,8 @@ SAME = ("cpu-to-gpu", "gpu-to-cpu", "block-to-tuples", "unpack", "tuples-to-bloc
 JOINS = {"hashjoin-chained": None, "partitioned-hashjoin-chained": "shuffle_hash", "out-of-gpu-join": "merge"}
 COMPARE = {"eq": lambda a, b: a == b, "neq": lambda a, b: a != b, "lt": lambda a, b: a < b, "le": lambda a, b: a <= b, "gt": lambda a, b: a > b, "ge": lambda a, b: a >= b}
 BINARY = COMPARE | {"and": lambda a, b: a & b, "or": lambda a, b: a | b, "add": lambda a, b: a + b, "sub": lambda a, b: a - b, "multiply": lambda a, b: a * b, "mod": scalar.mod}
+BINARY |= {"xor": scalar.xor, "max": scalar.largest, "min": scalar.smallest}
+SHIFTS = {"shl": scalar.shift_left, "shr": scalar.shift_right, "shr_logical": scalar.shift_right_logical}
 CONSTANTS = {"bool": "boolean", "int": "int", "int64": "bigint", "float": "double", "string": "string", "dstring": "string"}
 
 
@@ -37,7 +39,7 @@ class Interpreter:
     """Plans against a catalog. ``params`` are the values of placeholders."""
 
     def __init__(self, catalog: Catalog, params: list | None = None):
-        self.catalog, self.params, self.shared = catalog, params or [], {}
+        self.catalog, self.params, self.shared, self.bound, self.filters = catalog, params or [], {}, {}, {}
 
     def run(self, plan: dict | str | Path) -> DataFrame:
         """The plan's result with plain column names."""
@@ -83,6 +85,12 @@ class Interpreter:
             return self.expression(e["e"], df).cast(TYPES[e["type"]["type"]])
         if kind == "extern":
             return scalar.extern(e["name"], *(self.expression(a, df) for a in e["args"]))
+        if kind in SHIFTS:  # by a constant
+            return SHIFTS[kind](self.expression(e["left"], df), int(e["right"]["v"]))
+        if kind == "hash":
+            return scalar.hash_of(self.expression(e["e"], df))
+        if kind == "rand":
+            return scalar.rand(e.get("seed"))
         if kind == "placeholder":
             return F.lit(self.params[e["index"]])
         raise PlanError(f"unknown expression {kind!r}")
@@ -91,6 +99,8 @@ class Interpreter:
         attr, inner = e["attribute"], e["e"]
         if inner["expression"] == "argument":
             name = label(attr)
+            if name in self.bound:
+                return self.bound[name]
             if name in df.columns:
                 return F.col(f"`{name}`")
             same = [c for c in df.columns if c.rpartition("|")[2] == attr["attrName"]]
@@ -142,7 +152,35 @@ class Interpreter:
         return df.select(*(self.named(e, df, k) for k, e in enumerate(p["e"])))
 
     def _print(self, p: dict) -> DataFrame:
-        return self._project(p) if p.get("e") else self.operator(p["input"])
+        """The result; with a path in ``plugin`` it is written there too and read back from there."""
+        df = self._project(p) if p.get("e") else self.operator(p["input"])
+        plugin = p.get("plugin", {})
+        if "path" not in plugin:
+            return df
+        from ..operators.relation import Relation
+        from ..sources.sinks import print_to, printed
+
+        plain = df.toDF(*(c.rpartition("|")[2] for c in df.columns))
+        print_to(Relation(plain), plugin["path"], plugin.get("type", "pm-csv"))
+        return printed(df.sparkSession, plugin["path"], plugin.get("type", "pm-csv"), plain.schema)
+
+    def _bloomfilter_build(self, p: dict) -> DataFrame:
+        """Builds the filter ``id`` and passes its input on."""
+        from ..operators.relation import Relation
+
+        df = self.operator(p["input"])
+        self.filters[p["id"]] = Relation(df).bloom_build(self.expression(p["e"], df), p.get("size", 1 << 22))
+        return df
+
+    def _bloomfilter_probe(self, p: dict) -> DataFrame:
+        from ..operators.relation import Relation
+
+        df = self.operator(p["input"])
+        if p["id"] not in self.filters:
+            raise PlanError(f"no filter {p['id']} was built")
+        return Relation(df).bloom_probe(self.filters[p["id"]], self.expression(p["e"], df)).df
+
+    _bloomfilter_repack = _bloomfilter_probe  # blocks are Spark's matter
 
     def _insert_into(self, p: dict) -> DataFrame:
         df = self._print(p)
@@ -195,13 +233,15 @@ class Interpreter:
         path, name = self.expression(p["path"]["e"], df), p["path"]["name"]
         item = f"{path_of(p['path']['e'])}|{name}"
         if outer and "p" in p:  # the predicate sees the item while it is in the collection
-            marked = df.withColumn(item, F.explode_outer(path))
-            test = self.expression(p["p"], marked)
-            keys = df.withColumn("|row", F.monotonically_increasing_id())
-            found = keys.withColumn(item, F.explode_outer(path))
-            kept = found.filter(test)
-            rest = keys.join(kept.select("|row"), "|row", "left_anti").withColumn(item, F.lit(None).cast(found.schema[item].dataType))
-            return kept.unionByName(rest).drop("|row")
+
+            def fits(value: Column) -> Column:
+                self.bound[item] = value
+                try:
+                    return self.expression(p["p"], df)
+                finally:
+                    del self.bound[item]
+
+            return df.withColumn(item, F.explode_outer(F.filter(path, fits)))
         out = df.withColumn(item, F.explode_outer(path) if outer else F.explode(path))
         return out.filter(self.expression(p["p"], out)) if "p" in p else out
 
@@ -214,7 +254,9 @@ class Interpreter:
         on = keys[0]
         for k in keys[1:]:
             on = on & k
-        return probe.join(build.hint(hint) if hint else build, on, "inner")
+        from ..operators.relation import hinted
+
+        return probe.join(hinted(build, hint), on, "inner")
 
     def key_pairs(self, build_k: dict, probe_k: dict, build: DataFrame, probe: DataFrame) -> list[Column]:
         if build_k["expression"] == "recordConstruction":
@@ -225,7 +267,9 @@ class Interpreter:
         if p["p"]["expression"] != "eq":
             raise PlanError("a join has one equality")
         left, right = self.operator(p["leftInput"]), self.operator(p["rightInput"])
-        return left.join(right.hint("shuffle_hash"), self.expression(p["p"]["left"], left) == self.expression(p["p"]["right"], right), "inner")
+        from ..operators.relation import hinted
+
+        return left.join(hinted(right, "shuffle_hash"), self.expression(p["p"]["left"], left) == self.expression(p["p"]["right"], right), "inner")
 
     def _hash_rearrange(self, p: dict) -> DataFrame:
         df, n = self.operator(p["input"]), p.get("buckets", 2)

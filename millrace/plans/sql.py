@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame
 
 from ..sources.catalog import Catalog
+from ..sources.sinks import Timings
 
 _UNNEST = re.compile(r"\bUNNEST\s*\(\s*([\w.`]+)\s*\)\s*(?:AS\s+)?(\w+)\s*(?:\(\s*(\w+)\s*\))?", re.IGNORECASE)
 _SET = re.compile(r"\s*SET\s+(\w+)\s*=\s*(\w+)\s*;?\s*$", re.IGNORECASE)
@@ -19,7 +20,7 @@ class Sql:
     """Statements against a catalog's tables, which become temporary views."""
 
     def __init__(self, catalog: Catalog):
-        self.catalog, self.spark, self.options, self.prepared = catalog.views(), catalog.spark, {}, {}
+        self.catalog, self.spark, self.options, self.prepared, self.timings = catalog.views(), catalog.spark, {}, {}, Timings()
 
     def run(self, statement: str, *args, **named) -> DataFrame:
         """Any Spark SQL. ``FROM t, UNNEST(t.items) i`` flattens a collection; ``?`` and ``:name`` are parameters."""
@@ -35,8 +36,18 @@ class Sql:
         elif name not in (*DEVICES, "timings"):
             raise ValueError(f"unknown option {name!r}")
         self.options[name] = value
+        if name == "hwmode":
+            self.timings.hwmode = value
         return self.spark.createDataFrame([(name, value)], "name string, value string")
 
+    def collect(self, statement: str, *args, **named) -> list:
+        """A statement's rows; with ``SET timings = on`` the view SessionTimings has a row about it."""
+        if self.options.get("timings") not in ("on", "true", "text", "csv"):
+            return self.run(statement, *args, **named).collect()
+        rows = self.timings.run(statement[:40], lambda: self.run(statement, *args, **named), statement)
+        self.timings.table(self.spark).createOrReplaceTempView("SessionTimings")
+        return rows
+
     def prepare(self, label: str, statement: str) -> None:
         self.prepared[label] = statement
 

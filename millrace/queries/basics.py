@@ -13,7 +13,8 @@ from ..operators import kmeans
 from ..operators.relation import Relation
 from ..plans.json_plan import Interpreter
 from ..plans.sql import Sql
-from ..sources.catalog import Catalog
+from ..sources.catalog import Catalog, Entry
+from ..sources.sinks import scratch_path
 from ..streaming.snapshots import as_of
 
 QUERIES: dict = {}
@@ -348,9 +349,10 @@ def update_copy_on_write(t, spark, d):
     return t("supplier").update(F.col("s_nationkey") == 3, s_acctbal=F.col("s_acctbal") + 10).project("s_suppkey", "s_acctbal")
 
 
-@query("SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events WHERE event_id <= 6000 GROUP BY user_id")
+@query("SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events) GROUP BY user_id")
 def snapshot_as_of(t, spark, d):
-    return as_of(t("events", "user_id", "event_id", "event_type").df, ["user_id"], "event_id", 6000)
+    events = t("events", "user_id", "event_id", "event_type").df
+    return as_of(events, ["user_id"], "event_id", events.agg(F.max("event_id")).first()[0] // 2)
 
 
 @query("""SELECT CASE WHEN da <= db AND da <= dc THEN 0 WHEN db <= dc THEN 1 ELSE 2 END AS cluster, count(*) AS n, CAST(sum(p_size) AS DOUBLE) / count(*) AS p_size
@@ -432,3 +434,93 @@ def superset_intersect(t, spark, d):
 @query("SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
 def superset_except(t, spark, d):
     return t("customer").project(k="c_nationkey").df.subtract(t("supplier").filter("s_acctbal > 5000").project(k="s_nationkey").df)
+
+
+# filters of stated size, generalized routing, plans that print, functions by name
+
+
+@query("SELECT l_orderkey, l_linenumber, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size = 7")
+def bloom_build_probe(t, spark, d):
+    small = t("part", "p_partkey", "p_brand", "p_size").filter("p_size = 7").project("p_partkey", "p_brand")
+    kept = t("lineitem", "l_orderkey", "l_linenumber", "l_partkey").bloom_probe(small.bloom_build("p_partkey", 1 << 16), "l_partkey")
+    return kept.join(small, "l_partkey", "p_partkey").project("l_orderkey", "l_linenumber", "p_brand")
+
+
+@query("SELECT s_nationkey, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 2 GROUP BY s_nationkey")
+def bloom_repack(t, spark, d):
+    nations = t("nation").filter("n_regionkey = 2")
+    bitmap = nations.bloom_build("n_nationkey", 1 << 12).repack(64)
+    kept = t("supplier", "s_nationkey").bloom_probe(bitmap, "s_nationkey").join(nations, "s_nationkey", "n_nationkey")
+    return kept.groupby(["s_nationkey"], n=("count", F.lit(1)))
+
+
+@query("SELECT CASE WHEN l_quantity < 10 THEN 'small' WHEN l_discount > 0.05 THEN 'cheap' ELSE 'rest' END AS path, count(*) AS n, sum(l_linenumber) AS lines FROM lineitem GROUP BY 1")
+def gsplit_paths(t, spark, d):
+    path = lambda name: lambda r: r.groupby([F.lit(name).alias("path")], n=("count", F.lit(1)), lines=("sum", "l_linenumber"))
+    ways = ("l_quantity < 10", path("small")), ("l_discount > 0.05", path("cheap")), ("true", path("rest"))
+    return t("lineitem", "l_quantity", "l_discount", "l_linenumber").gsplit(*ways, at=scratch_path(spark, "gsplit"))
+
+
+@query("SELECT n_nationkey, upper(n_name) AS name, length(n_name) AS n FROM nation")
+def extern_call(t, spark, d):
+    return t("nation").project("n_nationkey", name=X.extern("upper", F.col("n_name")), n=X.extern("length", F.col("n_name")).cast("long"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus <> 'F'")
+def neq_filter(t, spark, d):
+    return t("orders").filter(F.col("o_orderstatus") != "F").project("o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_orderkey, CAST(-o_orderkey >> 2 AS BIGINT) AS s FROM orders")
+def shift_right_arith(t, spark, d):
+    return t("orders").project("o_orderkey", s=X.shift_right(-F.col("o_orderkey"), 2))
+
+
+def _attr(relation, name):
+    return {"expression": "recordProjection", "e": {"expression": "argument", "argNo": 0}, "attribute": {"relName": relation, "attrName": name}}
+
+
+@query("SELECT n_nationkey, n_nationkey * 4 AS shifted, xor(n_nationkey, n_regionkey) AS x, greatest(n_nationkey, n_regionkey) AS most, least(n_nationkey, n_regionkey) AS smallest FROM nation")
+def print_json_plan(t, spark, d):
+    own, other = _attr("nation", "n_nationkey"), _attr("nation", "n_regionkey")
+    named = lambda e, name: e | {"register_as": {"relName": "out", "attrName": name}}
+    two = lambda kind, right=other: {"expression": kind, "left": own, "right": right}
+    exprs = [named(own, "n_nationkey"), named(two("shl", {"expression": "int", "v": 2}), "shifted"), named(two("xor"), "x"), named(two("max"), "most"), named(two("min"), "smallest")]
+    plan = {"operator": "print", "e": exprs, "plugin": {"type": "pm-csv", "path": scratch_path(spark, "print")}, "input": {"operator": "scan", "plugin": {"name": "nation"}}}
+    return Interpreter(Catalog(spark).add_parquet(d, "nation")).run(plan)
+
+
+@query("SELECT l_orderkey, qty FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN l_quantity END AS qty, count(*) FILTER (l_quantity > 25) OVER (PARTITION BY l_orderkey) AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS nth FROM lineitem) WHERE qty IS NOT NULL OR n = 0 AND nth = 1")
+def json_outer_unnest(t, spark, d):
+    path = scratch_path(spark, "nested")
+    t("lineitem", "l_orderkey", "l_quantity").df.groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("items")).write.parquet(path)
+    catalog = Catalog(spark)
+    catalog.entries["orders"] = Entry("orders", path, "block", None)
+    test = {"expression": "gt", "left": _attr("orders", "qty"), "right": {"expression": "float", "v": 25.0}}
+    plan = {"operator": "outer_unnest", "path": {"name": "qty", "e": _attr("orders", "items")}, "p": test, "input": {"operator": "scan", "plugin": {"name": "orders"}}}
+    return Interpreter(catalog).run(plan).select("l_orderkey", "qty")
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def pm_tsv_scan(t, spark, d):
+    path = scratch_path(spark, "tsv")
+    t("region").df.write.option("sep", "|").csv(path)
+    kind = {"type": "bag", "inner": {"type": "record", "attributes": [{"attrName": "r_regionkey", "type": {"type": "int"}}, {"attrName": "r_name", "type": {"type": "string"}}]}}
+    catalog = Catalog(spark)
+    catalog.add("region", {"path": path, "type": kind, "plugin": {"type": "pm-tsv"}})
+    return catalog.read("region")
+
+
+@query("SELECT * FROM (VALUES ('select count(*) from region', 'SELECT', 'cpuonly'), ('select max(n_name) from nation', 'SELECT', 'gpuonly')) AS v(query, cmd_type, hwmode)")
+def session_timings(t, spark, d):
+    sql = Sql(Catalog(spark).add_parquet(d, "region", "nation"))
+    sql.run("SET timings = on")
+    sql.collect("select count(*) from region")
+    sql.run("SET hwmode = gpuonly")
+    sql.collect("select max(n_name) from nation")
+    return sql.timings.table(spark).filter("total_time >= 0").select("query", "cmd_type", "hwmode")
+
+
+@query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+def union_distinct(t, spark, d):
+    return t("customer").project(k="c_nationkey").union_all(t("supplier").project(k="s_nationkey")).df.distinct()

@@ -17,9 +17,37 @@ from millrace.streaming.snapshots import append, as_of, ingest, read_log
 
 from .conftest import rows
 
-SAILORS = "22;Dustin;7;45 29;Brutus;1;33 31;Lubber;8;55.5 32;Andy;8;25.5 58;Rusty;10;35 64;Horatio;7;35 71;Zorba;10;16 74;Horatio;9;35 85;Art;3;25.5 95;Bob;3;63.5".split()
-RESERVES = "22;101;Monday 22;102;Monday 22;103;Tuesday 22;104;Tuesday 31;102;Wednesday 31;103;Wednesday 31;104;Thursday 64;101;Thursday 64;102;Friday 74;103;Friday".split()
-BOATS = "101;Interlake;blue 102;Interlake;red 103;Clipper;green 104;Marine;red".split()
+# Small tables and their rows, to which the expected results below belong.
+SAILORS = [
+    "22;Dustin;7;45",
+    "29;Brutus;1;33",
+    "31;Lubber;8;55.5",
+    "32;Andy;8;25.5",
+    "58;Rusty;10;35",
+    "64;Horatio;7;35",
+    "71;Zorba;10;16",
+    "74;Horatio;9;35",
+    "85;Art;3;25.5",
+    "95;Bob;3;63.5",
+]
+RESERVES = [
+    "22;101;Monday",
+    "22;102;Monday",
+    "22;103;Tuesday",
+    "22;104;Tuesday",
+    "31;102;Wednesday",
+    "31;103;Wednesday",
+    "31;104;Thursday",
+    "64;101;Thursday",
+    "64;102;Friday",
+    "74;103;Friday",
+]
+BOATS = [
+    "101;Interlake;blue",
+    "102;Interlake;red",
+    "103;Clipper;green",
+    "104;Marine;red",
+]
 EMPLOYEES = [("John", 20, [("Huey", 101), ("Lewey", 11), ("Dewey", 12)]), ("Doe", 48, [("Tom", 22), ("Jerry", 9)]), ("Ma", 66, [("Joe", 50), ("Jack", 40), ("William", 41), ("Averel", 52), ("John", 66)]), ("None", 30, []), ("Null", 31, None)]
 
 
@@ -159,8 +187,10 @@ def test_sinks(spark, catalog, tmp_path):
     assert spark.table("made").count() == 10
     spark.sql("DROP TABLE made")
     log = Timings()
-    log.run("all", lambda: s.df)
-    assert log.table(spark).first().rows == 10
+    assert len(log.run("all", lambda: s.df)) == 10
+    assert len(log.run("all", lambda: s.df, "select * from sailors")) == 10
+    r = log.table(spark).filter("query is not null").first()
+    assert len(log.table(spark).columns) == 15 and (r.cmd_type, r.query_name) == ("SELECT", "all") and 0 <= r.execution_time <= r.total_time
 
 
 def test_sql_surface(spark, catalog):
@@ -217,3 +247,105 @@ def test_plans(spark):
     assert plan(line.groupby(["l_suppkey"], n=("sum", "l_linenumber"))).count("HashAggregate") == 2
     assert "BroadcastHashJoin" in plan(Relation.scan(spark, d, "customer").join(nation.broadcast(), "c_nationkey", "n_nationkey"))
     assert "ShuffledHashJoin" in plan(line.join(Relation.scan(spark, d, "orders"), "l_orderkey", "o_orderkey", "radix"))
+
+
+@pytest.mark.parametrize("size", [64, 1 << 12])
+def test_bloom_filters_lose_no_match(spark, size):
+    build = Relation(spark.range(0, 3000, 7).withColumnRenamed("id", "k").union(spark.sql("SELECT CAST(NULL AS BIGINT)")))
+    probe = Relation(spark.range(3000).selectExpr("id AS k", "id AS word", "id AS bits"))
+    bitmap = build.bloom_build("k", size)
+    wanted = {k for k in range(0, 3000, 7)}
+    kept = {r.k for r in probe.bloom_probe(bitmap, "k").df.collect()}
+    assert wanted <= kept and bitmap.words.count() <= size // 64
+    if size > 64:
+        small = bitmap.repack(size // 4)
+        assert len(kept) < 1000 and kept <= {r.k for r in probe.bloom_probe(small, "k").df.collect()} and small.words.count() <= size // 256
+        assert {tuple(r) for r in small.words.collect()} == {tuple(r) for r in build.bloom_build("k", size // 4).words.collect()}
+    with pytest.raises(ValueError):
+        build.bloom_build("k", 100)
+    with pytest.raises(ValueError):
+        bitmap.repack(2 * size)
+    assert probe.bloom_probe(Relation(build.df.limit(0)).bloom_build("k", 64), "k").df.count() == 0
+
+
+def test_split_writes_its_input_once(spark, tmp_path):
+    r = Relation(spark.range(100).selectExpr("id", "CAST(id % 3 AS INT) AS m"))
+    parts = r.split(4, "id", at=str(tmp_path / "split"))
+    assert sum(p.df.count() for p in parts) == 100 and parts[0].df.columns == ["id", "m"]
+    assert "PartitionFilters: [isnotnull(__part" in parts[0].df._jdf.queryExecution().executedPlan().toString()
+    got = r.gsplit(("m = 0", lambda p: p.project("id")), (F.col("id") > 50, lambda p: p.filter("id < 60").project("id")))
+    assert rows(got.df) == rows(spark.range(100).filter("id % 3 = 0 OR id > 50 AND id < 60"))
+
+
+def test_hash_tables_are_only_asked_for_under_a_size(spark):
+    r = Relation(spark.range(1000).selectExpr("id AS k", "id AS v"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan(r.join(r.project("k", w="v"), "k", strategy="radix").df)
+    from millrace.operators.relation import hinted
+
+    assert "ShuffledHashJoin" not in plan(r.df.join(hinted(r.df, "shuffle_hash", 10), "k"))
+
+
+def test_json_outer_unnest_reads_its_input_once(spark, catalog):
+    arg = {"expression": "argument", "argNo": 0}
+    proj = lambda e, rel_, a: {"expression": "recordProjection", "e": e, "attribute": {"relName": rel_, "attrName": a}}
+    age = proj(proj(arg, "employees", "c"), "employees", "age2")
+    test = {"expression": "gt", "left": age, "right": {"expression": "int", "v": 45}}
+    plan = {"operator": "outer_unnest", "path": {"name": "c", "e": proj(arg, "employees.json", "children")}, "p": test, "input": {"operator": "scan", "plugin": {"name": "employees"}}}
+    plan["path"]["e"]["attribute"]["relName"] = "employees"
+    df = Interpreter(catalog).run(plan)
+    assert sorted((r.name, r.c and r.c.age2) for r in df.collect()) == [("Doe", None), ("John", 101), ("Ma", 50), ("Ma", 52), ("Ma", 66), ("None", None), ("Null", None)]
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_binary_columns_of_many_files(spark, tmp_path):
+    for name, code in (("x", "i"), ("y", "d")):
+        (tmp_path / f"t.{name}").mkdir()
+        for part, many in enumerate((3, 0, 70_000, 5) if name == "x" else (70_008,)):
+            start = (0, 3, 3, 70_003)[part]
+            (tmp_path / f"t.{name}" / f"{part}.bin").write_bytes(struct.pack(f"<{many}{code}", *range(start, start + many)))
+    c = Catalog(spark, str(tmp_path))
+    c.add("t", entry("t", {"type": "bincol"}, x="int", y="float"))
+    df = c.read("t")
+    assert df.count() == 70_008 and df.filter("x <> y").count() == 0
+
+
+def test_only_a_missing_package_is_passed_over(monkeypatch):
+    import builtins
+    import importlib
+
+    import __spark_entry__ as e
+
+    real = builtins.__import__
+
+    def without(missing):
+        def load(name, *args, **more):
+            if name.startswith(missing):
+                raise ModuleNotFoundError(f"No module named {missing!r}", name=missing)
+            return real(name, *args, **more)
+
+        return load
+
+    try:
+        with monkeypatch.context() as m:
+            m.setattr(builtins, "__import__", without("corpus_pipeline"))
+            assert not any(n.startswith("op") or n == "pipeline" for n in importlib.reload(e).queries())
+        with monkeypatch.context() as m:
+            m.setattr(builtins, "__import__", without("public_tokenizers_of_nobody"))
+            importlib.reload(e)
+    finally:
+        importlib.reload(e)
+
+
+def test_statements_create_tables_views_and_functions(spark, catalog):
+    s = Sql(catalog)
+    s.run("CREATE TABLE made_here (a INT, b STRING) USING parquet")
+    s.run("INSERT INTO made_here VALUES (1, 'x'), (2, 'y')")
+    s.run("CREATE OR REPLACE TEMPORARY VIEW seen AS SELECT b FROM made_here WHERE a = 2")
+    s.run("CREATE OR REPLACE TEMPORARY FUNCTION twice(n INT) RETURNS INT RETURN n * 2")
+    assert rows(s.run("SELECT b, twice(21) AS n FROM seen")) == [("y", 42)]
+    s.run("DROP VIEW seen")
+    s.run("DROP TABLE made_here")
+    s.run("SET timings = on")
+    assert s.collect("SELECT count(*) AS n FROM boats")[0].n == 4
+    assert spark.table("SessionTimings").count() == 1
