@@ -21,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``. Unset (single-machine tests): a temporary one is set."""
+    """The shared folder of ``spark.checkpoint.dir``. Unset (single-machine tests): a temporary one is set; on a cluster,
+    where executors don't share one, that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -207,9 +207,15 @@ def decode(data: bytes) -> tuple[int, int, int, list[Frame]]:
         raise e if isinstance(e, BadGif) else BadGif("file is cut off") from None
 
 
+MOST_PIXELS = 1 << 26
+
+
 def composed(width: int, height: int, frames: list[Frame]) -> Iterator[np.ndarray]:
     """The canvas (RGBA) as shown with each frame: transparent samples leave what is there; afterwards the frame stays
-    (disposal 0, 1), its area becomes transparent (2) or what it covered comes back (3)."""
+    (disposal 0, 1), its area becomes transparent (2) or what it covered comes back (3). A header may claim any canvas;
+    over ``MOST_PIXELS`` it counts as damaged."""
+    if width * height > MOST_PIXELS:
+        raise BadGif(f"a canvas of {width} x {height}")
     canvas = np.zeros((height, width, 4), np.uint8)
     for f in frames:
         area = (slice(f.top, min(height, f.top + f.height)), slice(f.left, min(width, f.left + f.width)))
@@ -295,20 +301,27 @@ def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for media in batch.column(2).to_pylist():
-            _, _, _, frames = decode(media)
+            try:
+                if media is None:
+                    raise BadGif("no media")
+                _, _, _, frames = decode(media)
+            except BadGif as e:
+                rows.append((*[None] * 6, str(e)))
+                continue
             payload = b"".join(f.palette[:, 0][f.samples].tobytes() for f in frames)
             counts = sum(frame_histogram(f) for f in frames)
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"frames={len(frames)};ms={sum(f.delay_ms for f in frames)};grey=" + ",".join(map(str, counts[:BINS]))))
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        columns = zip(*rows, strict=True) if rows else [[]] * 6
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"frames={len(frames)};ms={sum(f.delay_ms for f in frames)};grey=" + ",".join(map(str, counts[:BINS])), None))
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+        columns = zip(*rows, strict=True) if rows else [[]] * 7
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"])
 
 
 def media_features(media: DataFrame) -> DataFrame:
     """What is read back from stored media: payload size and digest, the last bytes' CRC, the file's size and digest,
-    and a feature string of frame count, duration and colour histogram."""
+    and a feature string of frame count, duration and colour histogram. Null or damaged media have nulls there and an
+    ``error``, which others have not."""
     ship(media.sparkSession)
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(feature_rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(feature_rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
 
 
 FRAMES = "doc_id long, frame int, x int, y int, width int, height int, start_ms long, delay_ms int, disposal int, transparent int, histogram array<long>, error string"

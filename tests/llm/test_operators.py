@@ -344,6 +344,30 @@ def test_gif_round_trip(docs, none):
     assert frames.filter("error is not null").count() == 1 and frames.filter("frame = 0").count() == len(corpus())
 
 
+#: Widely published files, of ten by ten pixels in four colours and of one transparent pixel.
+TEN = "474946383961 0a000a00 910000 ffffff ff0000 0000ff 000000 21f90400000000 00 2c000000000a000a0000 02 16 8c2d99872a1cdc33a00275ec95faa8de608c04914c01 00 3b"
+DOT = "474946383961 01000100 800000 000000 ffffff 21f90401000000 00 2c00000000010001000002 0144 00 3b"
+
+
+def test_foreign_gifs(spark):
+    width, height, _, frames = gif.decode(bytes.fromhex(TEN))
+    rows_ = ["1111122222"] * 3 + ["1110000222"] * 2 + ["2220000111"] * 2 + ["2222211111"] * 3
+    assert (width, height, len(frames)) == (10, 10, 1)
+    assert ["".join(map(str, r)) for r in frames[0].samples.tolist()] == rows_
+    assert frames[0].palette[:3].tolist() == [[255, 255, 255], [255, 0, 0], [0, 0, 255]]
+    dot = gif.decode(bytes.fromhex(DOT))
+    assert dot[:2] == (1, 1) and next(gif.composed(1, 1, dot[3])).tolist() == [[[0, 0, 0, 0]]] and dot[3][0].transparent == 0
+    huge = bytearray(bytes.fromhex(DOT))
+    huge[6:10] = b"\xff" * 4
+    media = [(1, 0, bytes.fromhex(TEN)), (2, 0, None), (3, 0, bytes.fromhex(TEN)[:40]), (4, 0, b""), (5, 0, bytes(huge))]
+    df = spark.createDataFrame([(a, b, None if c is None else bytearray(c)) for a, b, c in media], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in gif.media_features(df).collect()}
+    assert got[1].error is None and got[1].payload_bytes == 100
+    assert all(got[k].error and got[k].payload_bytes is None and got[k].feature is None for k in (2, 3, 4))
+    frames = {r.doc_id: r for r in gif.gif_frames(df).collect()}
+    assert frames[1].error is None and sum(frames[1].histogram) > 0 and frames[5].error and frames[3].error
+
+
 def test_lzw_and_frames():
     rng = random.Random(7)
     for n in (0, 1, 255, 256, 512, 4000, 70_000):
