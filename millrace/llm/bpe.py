@@ -86,6 +86,9 @@ class Bpe:
             else:
                 inner[token] = i
         self.inner, self.final = inner, final if self.suffix else inner
+        # every end of a token: its id, or -1 if it is none itself
+        self.inner_ends = self._ends(self.inner)
+        self.final_ends = self._ends(self.final) if self.suffix else self.inner_ends
         self.back = {c: b for b, c in self._bytes.items()}
         # no token is longer than what a merge makes, so a token that ends at a symbol starts at most that far before it
         self.lookahead = max([1, *(len(a) + len(b) - (len(self.suffix) if self.suffix and b.endswith(self.suffix) else 0) for a, b in merges)])
@@ -93,6 +96,11 @@ class Bpe:
         self._fits: dict[int, bool] = {}
         self.kept = kept
 
+    @staticmethod
+    def _ends(names: dict[str, int]) -> dict[str, int]:
+        ends = {name[k:]: -1 for name in names for k in range(len(name))}
+        return ends | names
+
     @classmethod
     def from_file(cls, path: str, **options) -> Bpe:
         with open(path, encoding="utf-8") as f:
@@ -179,16 +187,21 @@ class Transducer:
         self.bpe, self.text, self.at = bpe, "", 0  # text: the symbols from the last stable token on
         self.last, self.back = [-1], [0]
 
-    def _step(self, end: int, names: dict[str, int]) -> None:
+    def _step(self, end: int, ends: dict[str, int]) -> None:
+        """The token that ends here: of those that fit what stands before them there is one."""
         bpe, text, last = self.bpe, self.text, self.last
-        known, get, token, start = bpe._fits, names.get, -1, 0
-        for j in range(max(0, end - bpe.lookahead), end):
+        known, get, token, start = bpe._fits, ends.get, -1, 0
+        found = []
+        for j in range(end - 1, -1, -1):
+            t = get(text[j:end])
+            if t is None:  # nor is anything longer the end of a token
+                break
+            if t >= 0:
+                found.append((j, t))
+        for j, t in reversed(found):
             before = last[j]
             if before < 0 and (j or self.at):
                 continue
-            t = get(text[j:end])
-            if t is None:
-                continue
             ok = known.get((before << 20) | t if before >= 0 else ~t)
             if bpe.fits(before, t) if ok is None else ok:
                 token, start = t, j
@@ -198,7 +211,7 @@ class Transducer:
 
     def push(self, symbols: str) -> Iterator[int]:
         """Take symbols of which the piece's last is none."""
-        most, inner = 4 * self.bpe.lookahead, self.bpe.inner
+        most, inner = 4 * self.bpe.lookahead, self.bpe.inner_ends
         for s in symbols:
             self.text += s
             self._step(len(self.text), inner)
@@ -231,7 +244,7 @@ class Transducer:
     def finish(self, symbol: str) -> Iterator[int]:
         """The piece's last symbol, then all that is left."""
         self.text += symbol
-        self._step(len(self.text), self.bpe.final)
+        self._step(len(self.text), self.bpe.final_ends)
         for e in self._chain(len(self.text)):
             yield self.last[e]
 
@@ -297,7 +310,7 @@ class Table:
         return found
 
 
-def encoder(path: str, form, kept: int = 300_000) -> tuple[Bpe, Table]:
+def encoder(path: str, form, kept: int = 500_000) -> tuple[Bpe, Table]:
     """A Bpe of this worker, and a table word -> ``form(bpe, ids)``; kept between batches and tasks."""
 
     def make():
