@@ -82,6 +82,12 @@ def held(key, make):
     return _held[key]
 
 
+def inline(spark: SparkSession, columns: tuple[str, ...], rows: list[tuple]) -> DataFrame:
+    """A few constant rows as a part of the plan; no Python data goes through an RDD."""
+    structs = [F.struct(*(F.lit(v).alias(c) for c, v in zip(columns, row, strict=True))) for row in rows]
+    return spark.range(1).select(F.explode(F.array(*structs)).alias("r")).select("r.*")
+
+
 def texts(docs: DataFrame, *more: str, text: str = "text") -> DataFrame:
     """Only ``doc_id``, the columns in ``more`` and ``text`` with nulls as empty: other columns can't clash."""
     return docs.select("doc_id", *more, F.coalesce(F.col(text), F.lit("")).alias("text"))

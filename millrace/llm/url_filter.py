@@ -19,7 +19,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, inline, table
 
 RULE_SCHEMA = "host string, path string, verdict string"
 
@@ -96,7 +96,7 @@ RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL under RULES; what no rule fits is allowed."""
-    return judge_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, RULE_SCHEMA))
+    return judge_urls(table(spark, sf_dir, "pages"), inline(spark, ("host", "path", "verdict"), RULES))
 
 
 SQL = """
