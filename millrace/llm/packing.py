@@ -74,8 +74,12 @@ class Tokens:
     def _learn(self, new: list[str]) -> None:
         """Lower-case letters and what marks follow them are pre-tokens of their own; other words go to the library
         whole. The lower case of sigma depends on its place, so the library makes it."""
-        heads, tails, whole = [], [], []
+        plain, words, heads, tails, whole = [], [], [], [], []
         for word in new:
+            if word.isalpha() and word.islower():
+                plain.append(word)
+                continue
+            words.append(word)
             low = word if "Σ" in word else word.lower()
             if low.isalpha():
                 heads.append(low)
@@ -94,9 +98,9 @@ class Tokens:
         parts = [*filterfalse(known.__contains__, {*heads, *tails} - {""})]
         again = {part: ids for part in parts if (ids := self.old.get(part))}
         known.update(again)
-        parts = [*filterfalse(again.__contains__, parts)]
+        parts = [*filterfalse(again.__contains__, parts), *plain]
         known.update(zip(parts, self._encode(parts), strict=True))
-        known.update(zip(new, [known[h] + known[t] if t else known[h] for h, t in zip(heads, tails, strict=True)], strict=True))
+        known.update(zip(words, [known[h] + known[t] if t else known[h] for h, t in zip(heads, tails, strict=True)], strict=True))
 
     def __call__(self, batch: list[str]) -> Iterator[bytes]:
         split = [*map(self.split, batch)]
