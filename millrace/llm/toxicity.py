@@ -124,7 +124,7 @@ class Network:
         dim = WORD_DIM + CHAR_DIM
         self.p = {"word": draw(len(lexicon.word_start), WORD_DIM, scale=0.01), "char": draw(BUCKETS, CHAR_DIM, scale=0.001)}
         self.p["word"][:, 0] = 0.4 * lexicon.word_start
-        self.p["char"][:, 0] = 0.1 * lexicon.char_start
+        self.p["char"][:, 0] = 0.05 * lexicon.char_start
         self.p["word"][0] = 0
         for d in "fb":
             self.p |= {f"{d}x": draw(dim, 3 * HIDDEN, scale=0.3), f"{d}h": draw(HIDDEN, 3 * HIDDEN, scale=0.3), f"{d}b": np.zeros(3 * HIDDEN)}
