@@ -14,11 +14,17 @@ def spread_join(rows: DataFrame, per_key: DataFrame, key: str, total: int) -> Da
     """``rows`` joined with ``per_key``, which has a row for each key and in ``n`` how many of the ``total`` rows have it.
 
     Keys with more than a thousandth of all rows, of which there are fewer than ``HUBS``, are broadcast, so rows of a hot
-    key stay where they are; only those of other keys are shuffled."""
-    hot = total / HUBS
-    hubs = F.broadcast(per_key.filter(F.col("n") > hot))
-    plain = rows.join(F.broadcast(per_key.filter(F.col("n") > hot).select(key)), key, "left_anti")
-    return rows.join(hubs, key).unionByName(plain.join(per_key.filter(F.col("n") <= hot), key))
+    key stay where they are; only those of other keys are shuffled. ``per_key`` is written once: made from ``rows`` at each
+    use, it makes plans, and what they leave in the driver's memory, large. So does a half of the join without keys."""
+    if total < HUBS:  # each key has more than a thousandth
+        return rows.join(F.broadcast(per_key), key)
+    per_key = cut(per_key, "keys")
+    hot = F.col("n") > total / HUBS
+    if per_key.filter(hot).isEmpty():
+        return rows.join(per_key, key)
+    hubs = F.broadcast(per_key.filter(hot))
+    plain = rows.join(F.broadcast(per_key.filter(hot).select(key)), key, "left_anti")
+    return rows.join(hubs, key).unionByName(plain.join(per_key.filter(~hot), key))
 
 
 def may_have(rows: DataFrame, wanted: DataFrame, key: str, bits: int = 1 << 23) -> DataFrame:

@@ -310,12 +310,13 @@ def candidate_rows(batches: Iterator[pa.RecordBatch], least: int, threshold: flo
 def _met(rows: DataFrame, key: str, *columns: str) -> DataFrame:
     """``rows`` with a ``meeting`` under which all rows of a key meet: itself if they are one of ``blocks``, else one for
     each two of its blocks (and ``side``: in which of the two a row is)."""
-    blocks = F.col("blocks").cast("int")
+    blocks, many = F.greatest(F.col("blocks"), F.lit(1)).cast("int"), F.col("blocks") > 1
     own = F.pmod(F.xxhash64("row"), blocks).cast("int")
-    few = rows.filter("blocks <= 1").select(F.col(key).alias("meeting"), F.lit(0).alias("side"), *columns)
-    many = rows.filter("blocks > 1").select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    many = many.select(F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other")).alias("meeting"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), *columns)
-    return few.unionByName(many)
+    # one pass: a second one over ``rows`` would make them, and plan them, again
+    met = rows.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    meeting = F.when(many, F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.col(key))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return met.select(meeting.alias("meeting"), side.alias("side"), *columns)
 
 
 SHINGLED = "cluster long, blocks long, row long, copies long, shingles binary"

@@ -27,6 +27,7 @@ WINDOW, STRIDE = 32, 24
 WORD_DIM = CHAR_DIM = 4
 HIDDEN, ATTEND = 8, 8
 GRAMS, BUCKETS = (3, 5, 7), 1 << 16
+SOME = 10_000  # tokens whose n-grams the driver holds at once, beside their rows
 EDGE = ".,;:!?\"'()[]{}<>*_-"
 
 
@@ -251,15 +252,28 @@ class Training:
         self.docs = [np.asarray([place.setdefault(t, len(place) + 1) for t in text.split()], int) for text in texts]
         words = ["", *map(word_of, place)]
         self.ids = np.fromiter((net.words.get(w, 0) for w in words), np.int64, len(words))
-        owner, self.rows = char_grams(words)
-        self.rows = self.rows[owner > 0]  # number 0 is no word
-        self.at = np.concatenate([[0, 0], np.cumsum(np.bincount(owner[owner > 0], minlength=len(words))[1:])])
+        many, rows = [np.zeros(1, int)], [np.zeros(0, np.int32)]  # number 0 is no word
+        for k in range(1, len(words), SOME):
+            owner, own = char_grams(words[k : k + SOME])
+            many.append(np.bincount(owner, minlength=len(words[k : k + SOME])))
+            rows.append(own)
+        self.rows = np.concatenate(rows)
+        self.at = np.concatenate([[0], np.cumsum(np.concatenate(many))])
 
     def grams(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         many = self.at[tokens + 1] - self.at[tokens]
         inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         return np.repeat(np.arange(len(tokens)), many), self.rows[np.repeat(self.at[tokens], many) + inside]
 
+    def signs(self, net: Network) -> np.ndarray:
+        """Each token's evidence so far."""
+        out = np.empty(len(self.ids))
+        for k in range(0, len(out), SOME):
+            tokens = np.arange(k, min(k + SOME, len(out)))
+            owner, rows = self.grams(tokens)
+            out[tokens] = net.p["word"][self.ids[tokens], 0] + np.bincount(owner, net.p["char"][rows, 0], len(tokens))
+        return out
+
 
 def _windows(docs: list[np.ndarray], at: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """Token numbers and mask of the windows (document, start) in ``at``."""
@@ -282,7 +296,6 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 6, batch: int = 25
     texts, labels = [*texts, *[""] * blank], np.concatenate([labels, np.zeros(blank, int)])
     rng = np.random.default_rng(seed)
     data = Training(net, texts)
-    everything = np.arange(len(data.ids))
     batch = max(32, min(batch, 2 * len(texts) // 8))
     first, second, step = {k: np.zeros_like(v) for k, v in net.p.items()}, {k: np.zeros_like(v) for k, v in net.p.items()}, 0
     weight = np.array([1.0, min(8.0, max(1.0, (labels == 0).sum() / max(1, (labels == 1).sum())))])
@@ -290,8 +303,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 6, batch: int = 25
     while len(texts) and (epoch < epochs or step < least_steps):
         epoch += 1
         at, ys = [], []
-        owner, rows = data.grams(everything)
-        signs = net.p["word"][data.ids, 0] + np.bincount(owner, net.p["char"][rows, 0], len(everything))
+        signs = data.signs(net)
         for doc, tokens in enumerate(data.docs):
             starts = window_starts(len(tokens))
             chosen = set()

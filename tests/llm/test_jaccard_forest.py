@@ -123,3 +123,28 @@ def test_spread_join_equals_join(spark):
     per_key = rows.filter("k <> 3").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     for total in (3000, 1):
         assert rows_of(spread_join(rows, per_key, "k", total)) == rows_of(rows.join(per_key, "k"))
+
+
+def _times_made(df, what):
+    return df._jdf.queryExecution().optimizedPlan().toString().count(what)
+
+
+def test_plans_make_their_rows_once_or_twice(spark):
+    """What the driver holds grows with the plans: each use of ``rows`` more is one more copy of all they are made of."""
+    made = spark.range(3000).select("id", (F.col("id") % 500).alias("k")).mapInArrow(lambda b: b, "id long, k long")
+    per_key = made.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    assert _times_made(spread_join(made, per_key, "k", 3000), "MapInArrow") <= 2
+    assert _times_made(spread_join(made, per_key, "k", 30_000), "MapInArrow") == 1  # without hubs
+    rows = made.select(F.col("id").alias("row"), "k", F.when(F.col("k") < 3, 4).otherwise(1).alias("blocks"))
+    met = jj._met(rows, "k", "row")
+    assert _times_made(met, "MapInArrow") == 1
+    by = defaultdict(list)
+    for r in met.collect():
+        by[r.meeting].append((r.side, r.row))
+    together = Counter()
+    for members in by.values():
+        for (s, a), (t, b) in combinations(members, 2):
+            if s == 0 or s != t:
+                together[min(a, b), max(a, b)] += 1
+    assert together == Counter(p for k in range(500) for p in combinations(range(k, 3000, 500), 2))
+    assert all(len(by[k]) == 6 and {s for s, _ in by[k]} == {0} for k in range(3, 500))

@@ -1,5 +1,6 @@
 """The scoring path against the training path, the character input, and the network against its lexicon."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -54,6 +55,24 @@ def test_character_ngrams():
     assert tox.char_grams([])[0].size == 0
 
 
+def test_training_holds_ngrams_part_by_part():
+    rng = np.random.default_rng(3)
+    texts = ["", *(" ".join("".join(map(chr, rng.integers(97, 123, 9))) for _ in range(100)) for _ in range(400))]
+    net = tox.Network(tox.Lexicon(["so bad", "so good"] * 3, np.asarray([1, 0] * 3)))
+    tracemalloc.start()
+    data = tox.Training(net, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(data.ids) > 3 * tox.SOME and peak < 40 * len(data.rows)  # over 100 bytes an n-gram if all are listed at once
+    owner, rows = data.grams(np.arange(len(data.ids)))
+    some = [0, 1, tox.SOME, tox.SOME + 1, tox.SOME + 2, len(data.ids) - 1]
+    place = {t: k + 1 for k, t in enumerate(dict.fromkeys(t for text in texts for t in text.split()))}
+    words = ["", *place]
+    assert [rows[owner == k].tolist() for k in some] == [tox.char_grams([words[k]])[1].tolist() if k else [] for k in some]
+    want = net.p["word"][data.ids, 0] + np.bincount(owner, net.p["char"][rows, 0], len(data.ids))
+    assert (data.signs(net) == want).all()
+
+
 def test_training_rows_are_bounded(spark):
     docs = spark.createDataFrame([(1, "b"), (1, "a")] + [(1, "a")] * 50 + [(2, "x")] * 40 + [(5, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (5, 0)], "doc_id long, toxic int")
